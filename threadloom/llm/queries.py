@@ -9,19 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import block_naming_dedup
 from .quality_rules import STOP, THRESHOLDS, Threshold, quality_rules
 from .shared import load
+from .simhash import simhash_components
+from .substring_dedup import substring_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming_dedup(load(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(load(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(load(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -70,4 +82,24 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 SELECT *, CASE WHEN base_failed THEN false ELSE {" AND ".join(_bounds(t) for t in THRESHOLDS)} END AS kept FROM judged
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL}
+OP10_SQL = rf"""
+WITH split AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split WHERE len(words) >= 13),
+windows AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + 12], ' ')) AS least FROM starts),
+gone AS (
+  SELECT doc_id, list(DISTINCT i + o) AS places
+  FROM (SELECT doc_id, i, unnest(range(0, 13)) AS o FROM windows WHERE least < doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT s.doc_id, words, CASE WHEN places IS NULL THEN words ELSE
+    list_transform(list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(places, p)), lambda p: words[p]) END AS rest
+  FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(rest) AS BIGINT) AS n_removed,
+       sha256(array_to_string(rest, ' ')) AS kept_sha256
+FROM kept
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op10_substring_dedup": OP10_SQL,
+}
