@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import block_naming_dedup
@@ -11,6 +12,7 @@ from .quality_rules import STOP, THRESHOLDS, Threshold, quality_rules
 from .shared import load
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(load(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -33,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
