@@ -27,10 +27,14 @@ BLOCK = 4096  # code points per block
 
 
 def _named(keys: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Integer names for distinct keys: their place after a range sort."""
-    keys = staged(keys, f"{label}-keys")
-    ranged = keys.repartitionByRange(partitions(keys), *columns).sortWithinPartitions(*columns)
-    return staged(ranged.withColumn("name", F.monotonically_increasing_id()), f"{label}-names")
+    """Integer names for distinct keys: their place after a sort.
+
+    The sort goes by hash first: the ranges come out even, and their bounds, which Spark
+    samples on the driver, are numbers instead of whole blocks.
+    """
+    keys = staged(keys.withColumn("h", F.xxhash64(*columns)), f"{label}-keys")
+    ranged = keys.repartitionByRange(partitions(keys), "h").sortWithinPartitions("h", *columns)
+    return staged(ranged.drop("h").withColumn("name", F.monotonically_increasing_id()), f"{label}-names")
 
 
 def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
