@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import block_naming_dedup
 from .mixing import mix_sources
@@ -13,10 +15,11 @@ from .packing import best_fit_packing
 from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import STOP, THRESHOLDS, Threshold, quality_rules
-from .shared import load
+from .shared import load, shared_dir
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .warc import archived, fixity, write_warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +50,31 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC, a replica in which one record of 53 is damaged, and its audit.
+
+    The damage is planted by rule (the replica's page says ``<!DOCTYPE`` in lower case, which
+    leaves the length as it is), so that the answer is known.
+    """
+    at = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}"
+    records = archived(load(spark, sf_dir, "pages"))
+    write_warc(records, f"{at}/warc-a")
+    damaged = F.when(F.col("page_id") % 53 == 7, F.regexp_replace("record", "<!DOCTYPE", "<!doctype"))
+    write_warc(records.withColumn("record", F.coalesce(damaged, F.col("record"))), f"{at}/warc-b")
+    found, bad = fixity(spark, f"{at}/warc-a", f"{at}/warc-b")
+    bad = bad.withColumn("damaged", F.lit(True))
+    return found.join(bad, ["archive", "seq"], "left").select(
+        F.regexp_extract("record_id", r"page:(-?\d+)", 1).cast("long").alias("page_id"),
+        "archive",
+        "seq",
+        "offset",
+        "length",
+        F.col("sha256").alias("record_sha256"),
+        "payload_ok",
+        F.col("damaged").isNull().alias("intact"),
+    )
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(load(spark, sf_dir, "documents")).drop("masked_text")
 
@@ -63,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_warc_fixity": op8_warc_fixity,
     "op9_personal_data": op9_personal_data,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -129,8 +158,30 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(rest
 FROM kept
 """
 
+OP8_SQL = r"""
+WITH records AS (
+  SELECT page_id, 'part-' || lpad(CAST(page_id // 2000 AS VARCHAR), 12, '0') AS archive, coalesce(html, '') AS body,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
+    || '>' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: '
+    || regexp_replace(coalesce(url, ''), '[\x00-\x20\x7f]', '_', 'g') || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:'
+    || sha256(coalesce(html, '')) || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+placed AS (
+  SELECT *, octet_length(encode(record)) AS n, row_number() OVER w - 1 AS seq,
+         coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY archive ORDER BY page_id, record
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM records WINDOW w AS (PARTITION BY archive ORDER BY page_id, record))
+SELECT page_id, archive, CAST(seq AS BIGINT) AS seq, CAST(before AS BIGINT) AS "offset", CAST(n AS BIGINT) AS length,
+       sha256(record) AS record_sha256, true AS payload_ok,
+       NOT (page_id % 53 = 7 AND contains(body, '<!DOCTYPE')) AS intact
+FROM placed
+"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op8_warc_fixity": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
