@@ -82,11 +82,13 @@ def mix_sources(
     share: float = SHARE,
     most: int = MOST,
     seed: int = SEED,
+    order_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies.
 
     Size is in words. A source whose target exceeds its size is taken whole as often as it
-    fits; the remaining budget goes to documents chosen by a seeded hash of doc_id, so many
+    fits; the remaining budget goes to documents chosen by a seeded hash of doc_id (or of
+    ``order_col``), so many
     of each exact size as :func:`fit` says. Equal inputs give equal results.
 
     One row per source comes to the driver (the sources of a mix are few); the documents of
@@ -100,6 +102,7 @@ def mix_sources(
     sized = staged(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            F.xxhash64(F.lit(seed), F.col(order_col or id_col)).alias("h"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long").alias("size"),
         ),
@@ -125,7 +128,7 @@ def mix_sources(
         ),
         "plan",
     )
-    rows = sized.join(plan, ["key", "size"]).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = sized.join(plan, ["key", "size"])
     rows = rows.withColumn("part", F.shiftrightunsigned("h", 52))
     sure = rows.where("take = 0 OR take = n").withColumn("extra", F.when(F.col("take") > 0, 1).otherwise(0))
 

@@ -8,12 +8,15 @@ in both documents, at a word position whose remainder modulo 7 is in the cover {
 1. Hash the 7-word pieces at cover positions only, 3 of 7, and find the hashes that occur in
    more than one document.
 2. Documents with shared anchors extend them to the 13-word windows that hold one, and the
-   least doc_id of each window is found (96-bit hashes of the windows' words).
+   least doc_id of each window is found.
 3. Words covered by a window that a smaller doc_id also has are removed.
 
-Hashes meet in buckets as packed arrays. Each block of documents first settles its own
-repeats and sends one entry per hash, so a passage that a third of the corpus shares brings
-one entry per block, not one per document, to its bucket.
+Hashes meet in buckets as packed arrays, with as many bytes as their number needs: anchors
+only propose candidates, so a false meeting in 2**14 does no harm; windows decide, so their
+hashes are long enough that none is expected in a corpus a thousand times as large. Each
+block of documents first settles its own repeats and sends one entry per hash, so a passage
+that a third of the corpus shares brings one entry per block, not one per document, to its
+bucket. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +37,15 @@ WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK = 1 << 21  # entries that a task settles at a time
-NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any other
+NO_ID = int(np.iinfo(np.int64).max)  # stands for a null doc_id: larger than any other
 _MULTIPLIERS = np.random.default_rng(1).integers(0, 1 << 63, (2, WINDOW), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-PACKED = "bucket int, doc_id bigint, ids binary, width int, high binary, low binary"
+PACKED = "bucket int, k bigint, ids binary, width int, hashes binary"
+HITS = "k bigint, hashes binary"
+
+
+# ---------------------------------------------------------------- hashes of a document
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,201 +68,253 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 def _anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cover positions of a document and the hashes of the anchors there."""
-    at = np.arange(max(len(h) - ANCHOR + 1, 0))
-    at = at[np.isin(at % PERIOD, COVER)]
-    return at, _rolled(h, ANCHOR, 0)[at] if len(at) else np.zeros(0, np.uint64)
+    n = len(h) - ANCHOR + 1
+    at = (np.arange(0, max(n, 0) + PERIOD, PERIOD)[:, None] + np.array(COVER)).ravel()
+    at = at[at < n]
+    return at, _rolled(h, ANCHOR, 0)[at] if n > 0 else np.zeros(0, np.uint64)
 
 
-class _Block:
-    """Entries (hash, second hash, doc_id) of some documents, settled among themselves."""
+def _runs(h: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Runs (first, end) of starts of the windows that hold an anchor of a shared short hash."""
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return np.zeros((0, 2), np.int32)
+    at, hashes = _anchors(h)
+    marked = np.zeros(len(h) + 1, np.int64)
+    marked[at[np.isin(_short(hashes), shared)] + 1] = 1
+    sums = np.cumsum(marked)
+    starts = np.arange(n)
+    held = np.concatenate([[False], sums[starts + PERIOD] > sums[starts], [False]])
+    return np.flatnonzero(held[1:] != held[:-1]).reshape(-1, 2).astype(np.int32)
 
-    def __init__(self, buckets: int, later: bool) -> None:
-        self.buckets, self.later = buckets, later
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
 
-    def add(self, h: np.ndarray, low: np.ndarray, doc_id: int) -> None:
-        if len(h):
-            self.parts.append((h, low, np.full(len(h), doc_id, np.int64)))
-            self.size += len(h)
+def _short(h: np.ndarray) -> np.ndarray:
+    """Four bytes that name an anchor within its document."""
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        h, low, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
-        first, told = _settled(h, low, ids, self.later)
-        yield from _by_document(ids[told], h[told])
-        h, low, ids = h[first], low[first], ids[first]
-        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+
+# ---------------------------------------------------------------- blocks and buckets
+
+
+class _Packing:
+    """How entries travel: buckets (a power of two, 256 or more) and bytes of a hash."""
+
+    def __init__(self, buckets: int, width: int, later: bool) -> None:
+        self.buckets, self.width, self.later = buckets, width, later
+
+    def named(self, h: np.ndarray) -> np.ndarray:
+        """What a document is told of a decided entry."""
+        return h if self.later else _short(h)
+
+    def settle(self, h: np.ndarray, low: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the first entry (of least id) of each hash, and of the entries decided.
+
+        Decided are, with ``later``, those of a larger id than the first; else all entries
+        of a hash with more than one id.
+        """
+        order = np.lexsort((ids, low, h)) if self.later else np.lexsort((ids, h))
+        sh, si = h[order], ids[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sh[1:] != sh[:-1]
+        if self.later:
+            sl = low[order]
+            new[1:] |= sl[1:] != sl[:-1]
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        least = si[starts]
+        if self.later:
+            return order[starts], order[si > least[group]]
+        return order[starts], order[(np.maximum.reduceat(si, starts) > least)[group]]
+
+    def packed(self, h: np.ndarray, low: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """Entries by bucket; ids as steps, hashes without the byte that the bucket tells."""
+        bucket = (h & np.uint64(self.buckets - 1)).astype(np.int64)
         order = np.lexsort((ids, bucket))
         h, low, ids, bucket = h[order], low[order], ids[order], bucket[order]
+        octets = np.hstack([h.view(np.uint8).reshape(-1, 8), low.view(np.uint8).reshape(-1, 8)])[:, 1 : 1 + self.width]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows: list[tuple] = []
+        rows = []
         for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
             steps = np.diff(ids[a:b], prepend=ids[a]).astype(np.uint64)
-            width = next(w for w in (1, 2, 4, 8) if w == 8 or steps.max() < 1 << (8 * w))
-            # Without the second hash six bytes and the bucket name an entry well enough to be verified later.
-            high = h[a:b].view(np.uint8).reshape(-1, 8)
-            rows.append((
-                int(bucket[a]), int(ids[a]), steps.astype(f"<u{width}").tobytes(), width,
-                (high if self.later else high[:, :6]).tobytes(), low[a:b].tobytes() if self.later else b"",
-            ))
-        yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-    names = ["bucket", "doc_id", "ids", "width", "high", "low"]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names
-    )
+            most = int(steps.max())
+            wide = next(w for w in (1, 2, 4, 8) if w == 8 or most < 1 << (8 * w))
+            rows.append((int(bucket[a]), int(ids[a]), steps.astype(f"<u{wide}").tobytes(), wide, octets[a:b].tobytes()))
+        return _batch(rows)
+
+    def unpacked(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.cumsum(np.frombuffer(row["ids"], f"<u{row['width']}").astype(np.int64)) + row["k"]
+        octets = np.zeros((len(ids), 16), np.uint8)
+        octets[:, 0] = row["bucket"] & 255
+        octets[:, 1 : 1 + self.width] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, self.width)
+        both = octets.view(np.uint64)
+        return both[:, 0].copy(), both[:, 1].copy(), ids
+
+    def told(self, ids: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(id, names of its decided entries, each once)."""
+        if not len(ids):
+            return
+        order = np.lexsort((names, ids))
+        ids, names = ids[order], names[order]
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])
+        ids, names = ids[fresh], names[fresh]
+        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+            yield int(ids[a]), names[a:b].tobytes()
 
 
-def _settled(h: np.ndarray, low: np.ndarray, ids: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first entry (of least doc_id) of each hash, and of the entries decided here.
+def _batch(rows: list[tuple], kinds: str = PACKED) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    columns = [c.split() for c in kinds.split(", ")]
+    arrays = [pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(columns)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in columns])
 
-    Decided are, with ``later``, those of a larger doc_id than the first; else all entries of
-    a hash with more than one doc_id.
-    """
-    order = np.lexsort((ids, low, h)) if later else np.lexsort((ids, h))
-    sh, sl, si = h[order], low[order], ids[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (sh[1:] != sh[:-1]) | ((sl[1:] != sl[:-1]) if later else False)
-    starts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    least = si[starts]
-    if later:
-        return order[starts], order[si > least[group]]
-    most = np.maximum.reduceat(si, starts)
-    return order[starts], order[(most > least)[group]]
-
-
-def _by_document(ids: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Decided entries as rows (doc_id, its distinct hashes); their bucket is negative."""
-    if not len(ids):
-        return
-    order = np.lexsort((h, ids))
-    ids, h = ids[order], h[order]
-    fresh = np.ones(len(ids), bool)
-    fresh[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
-    ids, h = ids[fresh], h[fresh]
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    ends = [*cuts[1:], len(ids)]
-    yield _batch([
-        (-1 - int(ids[a]) % 4096, int(ids[a]), b"", 0, h[a:b].tobytes(), b"") for a, b in zip(cuts, ends, strict=True)
-    ])
-
-
-def _meet(packed: DataFrame, buckets: int, later: bool) -> DataFrame:
-    """Bring the blocks' entries together by bucket; (doc_id, hashes) of the decided ones."""
-
-    def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+Entries = Callable[[dict], tuple[np.ndarray, np.ndarray]]
+
+
+def _met(rows: DataFrame, packing: _Packing, entries: Entries) -> DataFrame:
+    """(k, hashes): what each document of ``rows`` is told of its decided entries."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, low, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            first, decided = packing.settle(h, low, ids)
+            # Rows of decided entries pass the buckets by: theirs are negative.
+            own = [(-1 - k % 4096, k, b"", 0, names) for k, names in packing.told(ids[decided], packing.named(h[decided]))]
+            if own:
+                yield _batch(own)
+            yield packing.packed(h[first], low[first], ids[first])
+
+        size = 0
+        for batch in batches:
+            for row in _rows(batch):
+                h, low = entries(row)
+                if len(h):
+                    parts.append((h, low, np.full(len(h), row["k"], np.int64)))
+                    size += len(h)
+                if size >= BLOCK:
+                    yield from flush()
+                    size = 0
+        if parts:
+            yield from flush()
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         ready: list[tuple[np.ndarray, np.ndarray]] = []
-        current: int | None = None
+        current, size = None, 0
 
-        def close() -> None:
-            if gathered:
-                h, low, ids = (np.concatenate(x) for x in zip(*gathered, strict=True))
-                _, told = _settled(h, low, ids, later)
-                ready.append((ids[told], h[told]))
-                gathered.clear()
+        def close() -> int:
+            if not gathered:
+                return 0
+            h, low, ids = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            gathered.clear()
+            _, decided = packing.settle(h, low, ids)
+            ready.append((ids[decided], packing.named(h[decided])))
+            return len(decided)
 
         def out() -> Iterator[pa.RecordBatch]:
             if ready:
-                ids, h = (np.concatenate(x) for x in zip(*ready, strict=True))
+                ids, names = (np.concatenate(x) for x in zip(*ready, strict=True))
                 ready.clear()
-                for b in _by_document(ids, h):
-                    yield b.select(["doc_id", "high"])
+                found = list(packing.told(ids, names))
+                if found:
+                    yield _batch(found, HITS)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["bucket"] < 0:
-                    ready.append(_decided(row))
+                    names = np.frombuffer(row["hashes"], np.uint64 if packing.later else np.uint32)
+                    ready.append((np.full(len(names), row["k"], np.int64), names))
+                    size += len(names)
                 else:
                     if row["bucket"] != current:
-                        close()
+                        size += close()
                         current = row["bucket"]
-                    gathered.append(_unpacked(row, later, buckets))
-            if sum(len(x) for x, _ in ready) > BLOCK:
-                yield from out()
+                    gathered.append(packing.unpacked(row))
+                if size > BLOCK:
+                    yield from out()
+                    size = 0
         close()
         yield from out()
 
-    rows = packed.repartition(partitions(packed), "bucket").sortWithinPartitions("bucket")
-    hits = rows.mapInArrow(reduce, "doc_id bigint, high binary")
-    return hits.groupBy("doc_id").agg(F.collect_list("high").alias("hashes"))
+    dealt = rows.mapInArrow(pack, PACKED).repartition(partitions(rows), "bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, HITS)
 
 
-def _decided(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(row["high"], np.uint64)
-    return np.full(len(h), row["doc_id"], np.int64), h
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    names = batch.schema.names
+    for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield dict(zip(names, values, strict=True))
 
 
-def _unpacked(row: dict, later: bool, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    steps = np.frombuffer(row["ids"], f"<u{row['width']}").astype(np.int64)
-    ids = np.cumsum(steps) + row["doc_id"]
-    if later:
-        return np.frombuffer(row["high"], np.uint64), np.frombuffer(row["low"], np.uint32), ids
-    h = np.zeros((len(ids), 8), np.uint8)
-    h[:, :6] = np.frombuffer(row["high"], np.uint8).reshape(-1, 6)
-    return h.view(np.uint64)[:, 0], np.zeros(len(ids), np.uint32), ids
+def _with_hits(texts: DataFrame, hits: DataFrame, columns: str, judge: Callable[[dict, list[bytes]], tuple]) -> DataFrame:
+    """``judge`` of each row of ``texts`` (k, doc_id, z, ...) and the hits of its k.
 
+    Both sides are sorted by k into the same partitions, hits first, and read in one go.
+    """
+    others = [c for c in texts.columns if c != "k"]
+    sides = texts.withColumn("text", F.lit(1)).withColumn("hashes", F.lit(None).cast("binary")).unionByName(
+        hits.select("k", F.lit(0).alias("text"), "hashes"), allowMissingColumns=True
+    )
 
-def _packer(buckets: int, later: bool, entries: Callable[[dict], tuple[np.ndarray, np.ndarray]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(buckets, later)
+        current, found = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                block.add(*entries(row), NO_ID if row["doc_id"] is None else row["doc_id"])
-                if block.size >= BLOCK:
-                    yield from block.flush()
-        yield from block.flush()
+            rows = []
+            for row in _rows(batch):
+                if row["k"] != current:
+                    current, found = row["k"], []
+                if row["text"]:
+                    rows.append(judge(row, found))
+                else:
+                    found.append(row["hashes"])
+            yield _batch(rows, columns)
 
-    return run
+    met = sides.repartition(partitions(texts), "k").sortWithinPartitions("k", "text")
+    return met.select("k", "text", "hashes", *others).mapInArrow(run, columns)
 
 
-def _low48(h: np.ndarray) -> np.ndarray:
-    return h & np.uint64((1 << 48) - 1)
+# ---------------------------------------------------------------- the operator
 
 
 def _anchor_entries(row: dict) -> tuple[np.ndarray, np.ndarray]:
     words = row["text"].split()
     if len(words) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    h = np.unique(_low48(_anchors(_word_hashes(words))[1]))
-    return h, np.zeros(len(h), np.uint32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = _anchors(_word_hashes(words))[1]
+    return h, np.zeros(len(h), np.uint64)
 
 
 def _window_entries(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    h = _word_hashes(row["text"].split())
-    starts = _starts(h, row["hashes"])
-    second = _rolled(_mixed(h), WINDOW, 1)[starts]
-    return _rolled(h, WINDOW, 0)[starts], (second >> np.uint64(32)).astype(np.uint32)
+    h = _word_hashes(_unzipped(row["z"]).split())
+    runs = np.frombuffer(row["runs"], np.int32).reshape(-1, 2)
+    parts = [h[a : b + WINDOW - 1] for a, b in runs.tolist()]
+    return (np.concatenate([_rolled(_mixed(p) if f else p, WINDOW, f) for p in parts]) for f in (0, 1))
 
 
-def _starts(h: np.ndarray, shared: list[bytes]) -> np.ndarray:
-    known = np.concatenate([np.frombuffer(x, np.uint64) for x in shared])
-    at, hashes = _anchors(h)
-    marked = np.zeros(len(h) + 1, np.int64)
-    marked[at[np.isin(_low48(hashes), known)] + 1] = 1
-    sums = np.cumsum(marked)
-    starts = np.arange(max(len(h) - WINDOW + 1, 0))
-    return starts[sums[starts + PERIOD] > sums[starts]]
+def _result(words: list[bytes], gone: np.ndarray | None) -> tuple[int, int, bytes]:
+    kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+    return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def _result(words: list[bytes], gone: np.ndarray | None) -> tuple[int, int, str]:
-    kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+def _unzipped(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
 
 
-def _buckets(docs: DataFrame) -> int:
-    """A power of two: about a million entries per bucket by the plan's size estimate."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    entries = min(size, 1 << 50) // 6 * len(COVER) // PERIOD
-    return min(1 << 16, max(256, 1 << (entries >> 20).bit_length()))
+def _sizes(docs: DataFrame) -> tuple[int, int, int]:
+    """Buckets of about a million entries, and bytes of anchors' and windows' hashes.
+
+    By the plan's size estimate of the input: a word takes some four bytes there.
+    """
+    size = min(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 56)
+    words = max(size // 4, 1)
+    buckets = min(1 << 16, max(256, 1 << (words * len(COVER) // PERIOD >> 20).bit_length()))
+    bits = words.bit_length()
+    return buckets, min(7, -(-(bits + 14 - 8) // 8)), min(15, -(-(2 * bits + 20 + 10 - 8) // 8))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,65 +328,59 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null doc_id counts as larger than any other. An empty table gives no rows. Other
     columns are ignored.
     """
-    base = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    buckets = _buckets(docs)
-    key = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
+    buckets, short, long = _sizes(docs)
+    base = documents(docs, id_col, text_col).select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.col("text").cast("binary").alias("text")
+    )
+    shared = _met(base, _Packing(buckets, short, later=False), _anchor_entries)
 
-    anchors = base.mapInArrow(_packer(buckets, False, _anchor_entries), PACKED)
-    shared = _meet(anchors, buckets, False).withColumnRenamed("doc_id", "k")
-    joined = base.join(shared, key == F.col("k"), "left").drop("k")
+    def zipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = pa.array([zip_(t.as_py()) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), z], names=["k", "z"])
 
-    def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suspect(row: dict, found: list[bytes]) -> tuple:
         # Documents without a candidate window are done; the others keep their text.
-        for batch in batches:
-            rows = []
-            for doc_id, text, hashes in zip(*(batch.column(c) for c in ("doc_id", "text", "hashes")), strict=True):
-                text, hashes = text.as_py(), hashes.as_py()
-                words = text.split()
-                if hashes and len(_starts(_word_hashes(words), hashes)):
-                    rows.append((doc_id.as_py(), None, None, text, hashes))
-                else:
-                    n, _, sha = _result(words, None)
-                    rows.append((doc_id.as_py(), n, sha, None, None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                names=["doc_id", "n_words", "kept_sha256", "text", "hashes"],
-            )
-
-    schema = "doc_id bigint, n_words bigint, kept_sha256 string, text binary, hashes array<binary>"
-    state = staged(joined.mapInArrow(judged, schema), "judged")
-    suspects = state.where("text IS NOT NULL").select("doc_id", "text", "hashes")
-    windows = suspects.mapInArrow(_packer(buckets, True, _window_entries), PACKED)
-    later = _meet(windows, buckets, True).withColumnRenamed("doc_id", "k").withColumnRenamed("hashes", "gone")
-    final = suspects.select("doc_id", "text").join(later, key == F.col("k"), "left").drop("k")
-
-    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, hashes in zip(*(batch.column(c) for c in ("doc_id", "text", "gone")), strict=True):
-                words, found = text.as_py().split(), hashes.as_py()
-                gone = None
-                if found:
-                    known = np.concatenate([np.frombuffer(x, np.uint64) for x in found])
-                    starts = np.flatnonzero(np.isin(_rolled(_word_hashes(words), WINDOW, 0), known))
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + WINDOW, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                n, removed, sha = _result(words, gone)
-                kept = None if not removed else b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                rows.append((doc_id.as_py(), n, removed, sha, None if kept is None else kept.decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
-
-    done = final.mapInArrow(
-        finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+        words = _unzipped(row["z"]).split()
+        runs = _runs(_word_hashes(words), np.frombuffer(b"".join(found), np.uint32)) if found else ()
+        if len(runs):
+            return row["k"], None, None, row["z"], runs.tobytes()
+        n, _, kept = _result(words, None)
+        return row["k"], n, hashlib.sha256(kept).hexdigest(), None, None
+
+    state = staged(
+        _with_hits(
+            base.mapInArrow(zipped, "k bigint, z binary"),
+            shared,
+            "k bigint, n_words bigint, kept_sha256 string, z binary, runs binary",
+            suspect,
+        ),
+        "suspects",
+    )
+    suspects = state.where("z IS NOT NULL")
+    later = _met(suspects.select("k", "z", "runs"), _Packing(buckets, long, later=True), _window_entries)
+
+    def finish(row: dict, found: list[bytes]) -> tuple:
+        words, gone = _unzipped(row["z"]).split(), None
+        if found:
+            known = np.frombuffer(b"".join(found), np.uint64)
+            starts = np.flatnonzero(np.isin(_rolled(_word_hashes(words), WINDOW, 0), known))
+            edge = np.zeros(len(words) + 1, np.int64)
+            edge[starts] += 1
+            edge[starts + WINDOW] -= 1
+            gone = np.cumsum(edge)[:-1] > 0
+        n, removed, kept = _result(words, gone)
+        return row["k"], n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if removed else None
+
+    done = _with_hits(
+        suspects.select("k", "z"),
+        later,
+        "k bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string",
+        finish,
     )
-    clean = state.where("text IS NULL").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text")
+    clean = state.where("z IS NULL").select(
+        "k", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text")
     )
-    return done.unionByName(clean)
+    doc_id = F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id")
+    return done.unionByName(clean).select(doc_id, "n_words", "n_removed", "kept_sha256", "kept_text")
