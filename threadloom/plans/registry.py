@@ -1,19 +1,50 @@
-"""Named queries and their oracle SQL."""
+"""Named queries over the driver's tables, each with its oracle SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.sources.relations import oracle, relation
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+MODULES: tuple[str, ...] = ()
+
+
+def query(name: str, *relations: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Register a function of the named relations as a query; ``sql`` is its oracle."""
+
+    def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = lambda spark, sf_dir: build(*(relation(spark, sf_dir, r) for r in relations))
+        if sql is not None:
+            _ORACLES[name] = oracle(sql)
+        return build
+
+    return register
+
+
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"threadloom.plans.{module}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """The canary assessment."""
+    return relation(spark, sf_dir, "runs")
