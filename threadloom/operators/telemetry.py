@@ -217,25 +217,29 @@ def window_stats(runs: DataFrame, damage: DataFrame, *keys: str) -> DataFrame:
 
     Damage is joined by run id; only successful runs with a usable id can have any.
     """
-    applied = F.col("status") == "success"
-    identified = applied & (F.length("run_id") >= 8)
-    joined = runs.where(~F.col("status").eqNullSafe(F.lit("dry-run"))).join(observed_damage(damage), "run_id", "left")
-    tokens = F.col("total_input") + F.col("cache_hit") + F.col("cache_write") + F.col("total_output")
-    scored = F.when(applied & F.col("verification_score").isNotNull(), F.col("verification_score"))
-    seen = F.when(identified & F.col("damage").isNotNull(), F.col("run_id"))
-    hurt = F.when(identified & (F.col("damage") >= 25), F.col("run_id"))
-    n, ok = F.count(F.lit(1)), F.count(F.when(applied, 1))
+    evidence = ~F.col("status").eqNullSafe(F.lit("dry-run"))
+    success = F.col("status") == "success"
+    joined = runs.join(observed_damage(damage), "run_id", "left")
+    tokens = F.col("total_input") + F.col("cache_hit") + F.coalesce("cache_write", F.lit(0)) + F.col("total_output")
+    scored = F.when(success, F.col("verification_score"))
+    observed = success & (F.length("run_id") >= 8) & F.col("damage").isNotNull()
+    n, ok = F.count(F.when(evidence, 1)), F.count(F.when(success, 1))
+    seen = F.count_distinct(F.when(observed, F.col("run_id")))
+    hurt = F.count_distinct(F.when(observed & (F.col("damage") > 0), F.col("run_id")))
+    joined = joined.withColumn("latency", F.when(evidence, F.coalesce("duration_ms", "avg_latency")))
+    zero = F.lit(0.0)
     return joined.groupBy(*keys).agg(
-        n.alias("runs"),
-        ok.alias("applied_runs"),
+        F.count(F.lit(1)).alias("runs"),
+        n.alias("applied_runs"),
         F.when(n > 0, ok / n).otherwise(F.lit(1.0)).alias("success_rate"),
         F.avg(scored).alias("avg_quality"),
-        F.when(ok > 0, F.count(scored) / ok).otherwise(F.lit(0.0)).alias("quality_coverage"),
-        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY coalesce(duration_ms, avg_latency))"), F.lit(0)).cast("double").alias("p95_latency_ms"),
-        F.coalesce(F.avg(tokens), F.lit(0.0)).alias("avg_tokens"),
-        F.coalesce(F.avg((F.col("method") == "heuristic").cast("double")), F.lit(0.0)).alias("fallback_rate"),
-        F.coalesce(F.count_distinct(hurt) / F.nullif(F.count_distinct(seen), F.lit(0)), F.lit(0.0)).alias("damage_rate"),
-        F.when(ok > 0, F.count_distinct(seen) / ok).otherwise(F.lit(0.0)).alias("damage_coverage"),
+        F.when(n > 0, F.count(scored) / n).otherwise(zero).alias("quality_coverage"),
+        # A6, nearest rank; Spark counts by value, so the state holds distinct values only.
+        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency)").cast("double"), zero).alias("p95_latency_ms"),
+        F.coalesce(F.avg(F.when(evidence, tokens)), zero).alias("avg_tokens"),
+        F.coalesce(F.avg(F.when(evidence, (F.col("method") == "heuristic").cast("double"))), zero).alias("fallback_rate"),
+        F.when(seen > 0, hurt / seen).otherwise(zero).alias("damage_rate"),
+        F.when(ok > 0, seen / ok).otherwise(zero).alias("damage_coverage"),
     )
 
 

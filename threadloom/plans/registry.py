@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES: tuple[str, ...] = ()
+MODULES = ("telemetry_queries",)
 
 
 def query(name: str, *relations: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
@@ -47,4 +47,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canary assessment."""
-    return relation(spark, sf_dir, "runs")
+    return queries()["canary_assessment"](spark, sf_dir)
