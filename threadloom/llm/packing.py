@@ -31,7 +31,7 @@ from .shared import documents, partitions, staged
 CAPACITY = 2048
 END = 0  # id that ends each document
 PLAN_ROWS = 1 << 18  # a plan up to this size is broadcast
-PER_GROUP = 20_000  # pieces that are numbered in one group
+PER_GROUP = 500  # pieces that are numbered in one group
 # Fixed value: the public byte-level pre-token pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
