@@ -42,7 +42,7 @@ _MULTIPLIERS = np.random.default_rng(1).integers(0, 1 << 63, (2, WINDOW), np.uin
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 PACKED = "bucket int, k bigint, ids binary, width int, hashes binary"
-HITS = "k bigint, hashes binary"
+HITS = "q int, k bigint, ids binary, width int, hashes binary"
 
 
 # ---------------------------------------------------------------- hashes of a document
@@ -99,8 +99,12 @@ def _short(h: np.ndarray) -> np.ndarray:
 class _Packing:
     """How entries travel: buckets (a power of two, 256 or more) and bytes of a hash."""
 
-    def __init__(self, buckets: int, width: int, later: bool) -> None:
-        self.buckets, self.width, self.later = buckets, width, later
+    def __init__(self, buckets: int, width: int, parts: int, later: bool) -> None:
+        self.buckets, self.width, self.parts, self.later = buckets, width, parts, later
+
+    @property
+    def name_type(self) -> type:
+        return np.uint64 if self.later else np.uint32
 
     def named(self, h: np.ndarray) -> np.ndarray:
         """What a document is told of a decided entry."""
@@ -132,35 +136,53 @@ class _Packing:
         order = np.lexsort((ids, bucket))
         h, low, ids, bucket = h[order], low[order], ids[order], bucket[order]
         octets = np.hstack([h.view(np.uint8).reshape(-1, 8), low.view(np.uint8).reshape(-1, 8)])[:, 1 : 1 + self.width]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
-            steps = np.diff(ids[a:b], prepend=ids[a]).astype(np.uint64)
-            most = int(steps.max())
-            wide = next(w for w in (1, 2, 4, 8) if w == 8 or most < 1 << (8 * w))
-            rows.append((int(bucket[a]), int(ids[a]), steps.astype(f"<u{wide}").tobytes(), wide, octets[a:b].tobytes()))
-        return _batch(rows)
+        return _batch([(b, *_stepped(ids[i:j]), octets[i:j].tobytes()) for b, i, j in _slices(bucket)])
 
     def unpacked(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.cumsum(np.frombuffer(row["ids"], f"<u{row['width']}").astype(np.int64)) + row["k"]
+        ids = _ids(row)
         octets = np.zeros((len(ids), 16), np.uint8)
         octets[:, 0] = row["bucket"] & 255
         octets[:, 1 : 1 + self.width] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, self.width)
         both = octets.view(np.uint64)
         return both[:, 0].copy(), both[:, 1].copy(), ids
 
-    def told(self, ids: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(id, names of its decided entries, each once)."""
+    def told(self, ids: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+        """Decided entries, each once, as rows (q, first id, steps, width, names) by the
+        part q of the documents they belong to."""
         if not len(ids):
             return
-        order = np.lexsort((names, ids))
-        ids, names = ids[order], names[order]
+        names, q = self.named(h), _part(ids, self.parts)
+        order = np.lexsort((names, ids, q))
+        ids, names, q = ids[order], names[order], q[order]
         fresh = np.ones(len(ids), bool)
         fresh[1:] = (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])
-        ids, names = ids[fresh], names[fresh]
-        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-            yield int(ids[a]), names[a:b].tobytes()
+        ids, names, q = ids[fresh], names[fresh], q[fresh]
+        for part, i, j in _slices(q):
+            yield (part, *_stepped(ids[i:j]), names[i:j].tobytes())
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the documents that an id belongs to."""
+    return (_mixed(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, first, end) of each run of equal keys."""
+    cuts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        yield int(keys[i]), i, j
+
+
+def _stepped(ids: np.ndarray) -> tuple[int, bytes, int]:
+    """Sorted ids as the first one and the steps between them, in as few bytes as they need."""
+    steps = np.diff(ids, prepend=ids[0]).astype(np.uint64)
+    most = int(steps.max())
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or most < 1 << (8 * w))
+    return int(ids[0]), steps.astype(f"<u{width}").tobytes(), width
+
+
+def _ids(row: dict) -> np.ndarray:
+    return np.cumsum(np.frombuffer(row["ids"], f"<u{row['width']}").astype(np.int64)) + row["k"]
 
 
 def _batch(rows: list[tuple], kinds: str = PACKED) -> pa.RecordBatch:
@@ -174,7 +196,7 @@ Entries = Callable[[dict], tuple[np.ndarray, np.ndarray]]
 
 
 def _met(rows: DataFrame, packing: _Packing, entries: Entries) -> DataFrame:
-    """(k, hashes): what each document of ``rows`` is told of its decided entries."""
+    """What the documents of ``rows`` are told of their decided entries, by part (HITS)."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -184,9 +206,7 @@ def _met(rows: DataFrame, packing: _Packing, entries: Entries) -> DataFrame:
             parts.clear()
             first, decided = packing.settle(h, low, ids)
             # Rows of decided entries pass the buckets by: theirs are negative.
-            own = [(-1 - k % 4096, k, b"", 0, names) for k, names in packing.told(ids[decided], packing.named(h[decided]))]
-            if own:
-                yield _batch(own)
+            yield _batch([(-1 - q, *rest) for q, *rest in packing.told(ids[decided], h[decided])])
             yield packing.packed(h[first], low[first], ids[first])
 
         size = 0
@@ -213,22 +233,20 @@ def _met(rows: DataFrame, packing: _Packing, entries: Entries) -> DataFrame:
             h, low, ids = (np.concatenate(x) for x in zip(*gathered, strict=True))
             gathered.clear()
             _, decided = packing.settle(h, low, ids)
-            ready.append((ids[decided], packing.named(h[decided])))
+            ready.append((ids[decided], h[decided]))
             return len(decided)
 
         def out() -> Iterator[pa.RecordBatch]:
             if ready:
-                ids, names = (np.concatenate(x) for x in zip(*ready, strict=True))
+                ids, h = (np.concatenate(x) for x in zip(*ready, strict=True))
                 ready.clear()
-                found = list(packing.told(ids, names))
-                if found:
-                    yield _batch(found, HITS)
+                yield _batch(list(packing.told(ids, h)), HITS)
 
         for batch in batches:
             for row in _rows(batch):
                 if row["bucket"] < 0:
-                    names = np.frombuffer(row["hashes"], np.uint64 if packing.later else np.uint32)
-                    ready.append((np.full(len(names), row["k"], np.int64), names))
+                    names = np.frombuffer(row["hashes"], packing.name_type).astype(np.uint64)
+                    ready.append((_ids(row), names))
                     size += len(names)
                 else:
                     if row["bucket"] != current:
@@ -251,31 +269,37 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield dict(zip(names, values, strict=True))
 
 
-def _with_hits(texts: DataFrame, hits: DataFrame, columns: str, judge: Callable[[dict, list[bytes]], tuple]) -> DataFrame:
-    """``judge`` of each row of ``texts`` (k, doc_id, z, ...) and the hits of its k.
+def _with_hits(
+    texts: DataFrame, hits: DataFrame, packing: _Packing, columns: str, judge: Callable[[dict, np.ndarray], tuple]
+) -> DataFrame:
+    """``judge`` of each row of ``texts`` (q, k, z, ...) and what its k was told.
 
-    Both sides are sorted by k into the same partitions, hits first, and read in one go.
+    Both sides are brought together by part of the documents, the hits first. A part's hits
+    fit in memory: there are twice as many parts as shuffle partitions.
     """
-    others = [c for c in texts.columns if c != "k"]
-    sides = texts.withColumn("text", F.lit(1)).withColumn("hashes", F.lit(None).cast("binary")).unionByName(
-        hits.select("k", F.lit(0).alias("text"), "hashes"), allowMissingColumns=True
-    )
+    others = [c for c in texts.columns if c not in ("q", "k")]
+    sides = texts.withColumn("text", F.lit(1)).unionByName(hits.withColumn("text", F.lit(0)), allowMissingColumns=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, found = None, []
+        current, gathered, ids, names = None, [], np.zeros(0, np.int64), np.zeros(0, packing.name_type)
         for batch in batches:
             rows = []
             for row in _rows(batch):
-                if row["k"] != current:
-                    current, found = row["k"], []
-                if row["text"]:
-                    rows.append(judge(row, found))
-                else:
-                    found.append(row["hashes"])
+                if row["q"] != current:
+                    current, gathered, ids, names = row["q"], [], ids[:0], names[:0]
+                if not row["text"]:
+                    gathered.append((_ids(row), np.frombuffer(row["hashes"], packing.name_type)))
+                    continue
+                if gathered:
+                    ids, names = (np.concatenate(x) for x in zip(*gathered, strict=True))
+                    gathered, order = [], np.argsort(ids, kind="stable")
+                    ids, names = ids[order], names[order]
+                first, end = np.searchsorted(ids, [row["k"], row["k"] + 1]) if row["k"] < NO_ID else (np.searchsorted(ids, NO_ID), len(ids))
+                rows.append(judge(row, names[first:end]))
             yield _batch(rows, columns)
 
-    met = sides.repartition(partitions(texts), "k").sortWithinPartitions("k", "text")
-    return met.select("k", "text", "hashes", *others).mapInArrow(run, columns)
+    met = sides.repartition(partitions(texts), "q").sortWithinPartitions("q", "text")
+    return met.select("q", "k", "text", "ids", "width", "hashes", *others).mapInArrow(run, columns)
 
 
 # ---------------------------------------------------------------- the operator
@@ -329,43 +353,47 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
     """
     buckets, short, long = _sizes(docs)
+    parts = 2 * partitions(docs)
+    by_anchor, by_window = _Packing(buckets, short, parts, later=False), _Packing(buckets, long, parts, later=True)
     base = documents(docs, id_col, text_col).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.col("text").cast("binary").alias("text")
     )
-    shared = _met(base, _Packing(buckets, short, later=False), _anchor_entries)
+    shared = _met(base, by_anchor, _anchor_entries)
 
     def zipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             z = pa.array([zip_(t.as_py()) for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), z], names=["k", "z"])
+            k = batch.column("k")
+            q = pa.array(_part(k.to_numpy(), parts).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([q, k, z], names=["q", "k", "z"])
 
-    def suspect(row: dict, found: list[bytes]) -> tuple:
+    def suspect(row: dict, found: np.ndarray) -> tuple:
         # Documents without a candidate window are done; the others keep their text.
         words = _unzipped(row["z"]).split()
-        runs = _runs(_word_hashes(words), np.frombuffer(b"".join(found), np.uint32)) if found else ()
+        runs = _runs(_word_hashes(words), found) if len(found) else ()
         if len(runs):
-            return row["k"], None, None, row["z"], runs.tobytes()
+            return row["q"], row["k"], None, None, row["z"], runs.tobytes()
         n, _, kept = _result(words, None)
-        return row["k"], n, hashlib.sha256(kept).hexdigest(), None, None
+        return row["q"], row["k"], n, hashlib.sha256(kept).hexdigest(), None, None
 
     state = staged(
         _with_hits(
-            base.mapInArrow(zipped, "k bigint, z binary"),
+            base.mapInArrow(zipped, "q int, k bigint, z binary"),
             shared,
-            "k bigint, n_words bigint, kept_sha256 string, z binary, runs binary",
+            by_anchor,
+            "q int, k bigint, n_words bigint, kept_sha256 string, z binary, runs binary",
             suspect,
         ),
         "suspects",
     )
     suspects = state.where("z IS NOT NULL")
-    later = _met(suspects.select("k", "z", "runs"), _Packing(buckets, long, later=True), _window_entries)
+    later = _met(suspects.select("k", "z", "runs"), by_window, _window_entries)
 
-    def finish(row: dict, found: list[bytes]) -> tuple:
+    def finish(row: dict, found: np.ndarray) -> tuple:
         words, gone = _unzipped(row["z"]).split(), None
-        if found:
-            known = np.frombuffer(b"".join(found), np.uint64)
-            starts = np.flatnonzero(np.isin(_rolled(_word_hashes(words), WINDOW, 0), known))
+        if len(found):
+            starts = np.flatnonzero(np.isin(_rolled(_word_hashes(words), WINDOW, 0), found))
             edge = np.zeros(len(words) + 1, np.int64)
             edge[starts] += 1
             edge[starts + WINDOW] -= 1
@@ -374,8 +402,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return row["k"], n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if removed else None
 
     done = _with_hits(
-        suspects.select("k", "z"),
+        suspects.select("q", "k", "z"),
         later,
+        by_window,
         "k bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string",
         finish,
     )
