@@ -65,6 +65,15 @@ RELATIONS: dict[str, str] = {
                 WHEN event_type = 'purchase' AND value < 8 THEN 'No changes applied'
                 ELSE concat('ok ', CAST(k AS STRING)) END AS text
         FROM {steps}""",
+    # Whole sessions in order: user turns, calls, and results that sometimes come one call late.
+    "turns": """
+        SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY place, part) - 1 AS BIGINT) AS idx, role, text, call_id,
+            CAST(20 + (event_id * 37) % 900 AS BIGINT) AS tokens, is_error FROM (
+            SELECT session_id, CAST(ord AS DOUBLE) AS place, 0 AS part, event_id, 'user' AS role, concat('please look at ', path) AS text,
+                CAST(NULL AS STRING) AS call_id, false AS is_error FROM {steps} WHERE ord % 5 = 0
+            UNION ALL SELECT session_id, CAST(ord AS DOUBLE), 1, event_id, 'assistant', concat('calling ', event_type), concat('call-', CAST(event_id AS STRING)), false FROM {steps}
+            UNION ALL SELECT session_id, ord + CASE WHEN k % 3 = 0 THEN 1.5 ELSE 0 END, 2, event_id, 'toolResult', concat('result ', CAST(k AS STRING)),
+                concat('call-', CAST(event_id AS STRING)), event_type = 'error' AND value > 80 FROM {steps}) t""",
     "llm_calls": f"""
         SELECT event_id, CASE {_KEY} % 9 WHEN 0 THEN 'probe' WHEN 1 THEN 'explore' WHEN 2 THEN 'explore-loop' WHEN 3 THEN 'explore-retry'
             WHEN 4 THEN 'explore-direct' WHEN 5 THEN 'single-pass' WHEN 6 THEN 'batch' WHEN 7 THEN 'assemble' ELSE 'patch' END AS phase,
