@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import documents
+from .shared import documents, map_arrow
 
 #: Kinds in the order of ties; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "url")
@@ -160,4 +160,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = documents(docs, id_col, text_col)
     counts = ", ".join(f"n_{k} bigint" for k in KINDS[:BASE])
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string, masked_text string")
+    return map_arrow(base, run, f"doc_id {kind}, {counts}, base_sha256 string, spans string, masked_text string")

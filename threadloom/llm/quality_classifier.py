@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, map_arrow
 
 TERMS = 2048
 DIMENSIONS = 64  # of an index vector; word vectors have twice as many
@@ -31,7 +31,7 @@ REACH = 2  # words to either side that count as neighbours
 LABELLED = 20_000  # the most labelled documents that the network is fitted on
 HIDDEN = 32
 SEED = 11
-KNOWN = 1 << 19  # distinct words remembered by a task
+KNOWN = 1 << 17  # distinct words remembered by a task
 
 _SHAPE = bytes(
     ord("X") if 65 <= b <= 90 else ord("x") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else b
@@ -104,7 +104,7 @@ def context_sums(texts: DataFrame) -> np.ndarray:
         cells = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(cells), pa.array(sums[cells])], names=["cell", "total"])
 
-    cells = texts.select("text").mapInArrow(run, "cell bigint, total bigint")
+    cells = map_arrow(texts.select("text"), run, "cell bigint, total bigint")
     found = np.zeros(TERMS * DIMENSIONS)
     for cell, total in cells.groupBy("cell").agg(F.sum("total")).collect():
         found[cell] = total
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
 
     labelled = base.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    rows = labelled.mapInArrow(run, "doc_id bigint, label int, x binary").dropDuplicates(["doc_id"]).collect()
+    rows = map_arrow(labelled, run, "doc_id bigint, label int, x binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64).reshape(len(rows), vectors.shape[1])
     y = np.array([int(r["label"] > 0) for r in rows], int)
@@ -237,7 +237,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     given = docs.withColumn("__text__", F.col(text_col))
     schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    return given.mapInArrow(run, schema)
+    return map_arrow(given, run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

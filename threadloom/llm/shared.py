@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed value: the whitespace of the word and normalisation rules, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
@@ -66,3 +72,33 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, as the number of ranges to sort into."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+Batches = Iterable[pa.RecordBatch]
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Batches], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size, and workers that give memory back.
+
+    Texts are long, so Spark's ten thousand rows in a batch are too many: the session's
+    limits are lowered to a thousand rows and some megabytes. A Python worker stays alive
+    after its task; what the task took is returned to the system, for the JVM next to it.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key, str(most))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
+    def lean(batches: Batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .shared import documents, staged
+from .shared import documents, map_arrow, staged
 
 SEED = 42
 CHUNK = 1 << 22  # bytes of text hashed at a time
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), fps], names=[*others, "fp"])
 
     schema = docs.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _key_masks(blocks: int, distance: int) -> list[int]:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, partitions, staged
+from .shared import documents, map_arrow, partitions, staged
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
@@ -259,8 +259,8 @@ def _met(rows: DataFrame, packing: _Packing, entries: Entries) -> DataFrame:
         close()
         yield from out()
 
-    dealt = rows.mapInArrow(pack, PACKED).repartition(partitions(rows), "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, HITS)
+    dealt = map_arrow(rows, pack, PACKED).repartition(partitions(rows), "bucket")
+    return map_arrow(dealt.sortWithinPartitions("bucket"), meet, HITS)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -299,7 +299,7 @@ def _with_hits(
             yield _batch(rows, columns)
 
     met = sides.repartition(partitions(texts), "q").sortWithinPartitions("q", "text")
-    return met.select("q", "k", "text", "ids", "width", "hashes", *others).mapInArrow(run, columns)
+    return map_arrow(met.select("q", "k", "text", "ids", "width", "hashes", *others), run, columns)
 
 
 # ---------------------------------------------------------------- the operator
@@ -379,7 +379,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     state = staged(
         _with_hits(
-            base.mapInArrow(zipped, "q int, k bigint, z binary"),
+            map_arrow(base, zipped, "q int, k bigint, z binary"),
             shared,
             by_anchor,
             "q int, k bigint, n_words bigint, kept_sha256 string, z binary, runs binary",

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, partitions
+from .shared import documents, map_arrow, partitions
 
 #: Characters below this bound are in normal form C already and split alike in every
 #: Unicode version; texts with others go through the library's own normaliser.
@@ -114,9 +114,9 @@ def token_counts(
             counted.update(zip(new, split.pieces([k.decode() for k in new]), strict=True))
             yield from _summed(batch, keys, counted)
 
-    inverted = base.mapInArrow(lists, LISTS)
+    inverted = map_arrow(base, lists, LISTS)
     met = inverted.repartition(partitions(docs), F.coalesce("pretoken", F.col("block").cast("string").cast("binary")))
-    added = met.sortWithinPartitions("pretoken").mapInArrow(sums, "rid bigint, doc_id bigint, n_bytes bigint, n_tokens bigint")
+    added = map_arrow(met.sortWithinPartitions("pretoken"), sums, "rid bigint, doc_id bigint, n_bytes bigint, n_tokens bigint")
     total = added.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import map_arrow, staged
 
 END = "\r\n\r\n"  # ends the header, and again the record
 FANOUT = 16
@@ -122,7 +122,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     archive = F.regexp_extract("path", r"archive=([^/]+)/", 1)
-    return files.select(archive.alias("archive"), "content").mapInArrow(run, READ)
+    return map_arrow(files.select(archive.alias("archive"), "content"), run, READ)
 
 
 def leaves(records: DataFrame) -> DataFrame:
