@@ -74,6 +74,17 @@ RELATIONS: dict[str, str] = {
             UNION ALL SELECT session_id, CAST(ord AS DOUBLE), 1, event_id, 'assistant', concat('calling ', event_type), concat('call-', CAST(event_id AS STRING)), false FROM {steps}
             UNION ALL SELECT session_id, ord + CASE WHEN k % 3 = 0 THEN 1.5 ELSE 0 END, 2, event_id, 'toolResult', concat('result ', CAST(k AS STRING)),
                 concat('call-', CAST(event_id AS STRING)), event_type = 'error' AND value > 80 FROM {steps}) t""",
+    # Messages as logged: content is a JSON string or an array of blocks.
+    "raw_messages": """
+        SELECT session_id, idx, 'assistant' AS role, CASE WHEN idx % 18 = 4 THEN concat('[{{"type":"toolCall","id":"', call_id,
+                '","name":"multi_tool_use.parallel","arguments":{{"tool_uses":[{{"recipient_name":"functions.', name, '","parameters":', args,
+                '}},{{"recipient_name":"extra","id":"', call_id, '-x","parameters":{{}}}}]}}}}]')
+            ELSE concat('["on ",{{"type":"text","text":"it"}},{{"type":"toolCall","id":"', call_id, '","name":"', name, '","arguments":', args, '}}]') END AS content
+        FROM {calls}
+        UNION ALL SELECT session_id, idx, 'toolResult', concat('"', replace(text, chr(10), concat(chr(92), 'n')), '"') FROM {results}
+        UNION ALL SELECT session_id, 100000 + ord, 'user', CASE k % 4 WHEN 0 THEN concat('[{{"type":"image_url","url":"http://x/', CAST(k AS STRING), '.png"}}]')
+            WHEN 1 THEN concat('[{{"type":"document","path":"', path, '","mime_type":"application/pdf","size":', CAST(k AS STRING), '}}]')
+            WHEN 2 THEN '[{{"type":"odd"}}]' ELSE '{{"not":"content"}}' END FROM {steps} WHERE ord % 7 = 0""",
     "llm_calls": f"""
         SELECT event_id, CASE {_KEY} % 9 WHEN 0 THEN 'probe' WHEN 1 THEN 'explore' WHEN 2 THEN 'explore-loop' WHEN 3 THEN 'explore-retry'
             WHEN 4 THEN 'explore-direct' WHEN 5 THEN 'single-pass' WHEN 6 THEN 'batch' WHEN 7 THEN 'assemble' ELSE 'patch' END AS phase,
