@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import tools as K
+from threadloom.functions.shell import file_operations
 from threadloom.functions.text import evidence_line, fact_key, path_needles
 
 # Cue patterns in the order in which they are tried, and windows and caps.
@@ -75,6 +76,13 @@ def tool_steps(calls: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(known, ["session_id", "call_id"], "left")
 
 
+def shell_operations(steps: DataFrame) -> DataFrame:
+    """J1's shell part: files that successful commands write or remove, as (session_id, idx, path, op)."""
+    command = K.first_text(F.col("a"), K.COMMAND_KEYS)
+    ran = steps.where((F.col("operation") == "execute") & ~F.col("is_error") & ~K.command_failed(F.col("text")))
+    return ran.select("session_id", "idx", F.explode(file_operations(command)).alias("f")).select("session_id", "idx", "f.path", "f.op")
+
+
 def file_states(steps: DataFrame) -> DataFrame:
     """Per session and path the latest state that its successful operations leave.
 
@@ -82,13 +90,13 @@ def file_states(steps: DataFrame) -> DataFrame:
     when nothing touched it after its deletion, ``read`` when an access followed that.
     """
     does = F.col("operation")
-    usable = steps.where(~F.col("is_error") & F.col("path").isNotNull())
+    usable = steps.where(~F.col("is_error") & F.col("path").isNotNull() & (does != "execute"))
     op = (
         F.when((does == "mutate") & ~K.no_op(F.col("text")), "mutate")
         .when(does == "delete", "delete")
         .when(does.isin(*K.ACCESSES), "access")
     )
-    acts = usable.withColumn("op", op).where("op IS NOT NULL")
+    acts = usable.select("session_id", "idx", "path", op.alias("op")).where("op IS NOT NULL").unionByName(shell_operations(steps))
     whole = Window.partitionBy("session_id", "path")
     gone = F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("idx"))).over(whole), F.lit(-1))
     live = acts.withColumn("gone", gone)

@@ -48,22 +48,36 @@ NONE_LINE = r"(?i)\A(?:[-*+]|\d+[.)])\s+(?:none|no blockers?|yok)\s*(?:recorded|
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})(.*)$")
 
 
-@F.pandas_udf("array<boolean>")
-def fenced_lines(texts: pd.Series) -> pd.Series:
+def _fenced(text: str | None) -> list[bool]:
+    out, mark, length = [], "", 0
+    for line in (text or "").split("\n"):
+        found = _FENCE.match(line)
+        out.append(bool(found) or bool(mark))
+        if found and not mark:
+            mark, length = found[1][0], len(found[1])
+        elif found and found[1][0] == mark and len(found[1]) >= length and not found[2].strip():
+            mark = ""
+    return out
+
+
+def _fenced_of(texts: pd.Series) -> pd.Series:
+    return texts.map(_fenced)
+
+
+def fenced_lines(text: Column) -> Column:
     """Whether each line of a text belongs to a code fence, its marks included."""
+    return F.pandas_udf(_fenced_of, "array<boolean>")(text)
+
+
+def unclosed_fence(text: Column) -> Column:
+    """whether a text ends inside a code fence."""
+    marks = fenced_lines(F.concat(text, F.lit("\n")))
+    return F.element_at(marks, -1)
+
 
-    def of(text: str | None) -> list[bool]:
-        out, mark, length = [], "", 0
-        for line in (text or "").split("\n"):
-            found = _FENCE.match(line)
-            out.append(bool(found) or bool(mark))
-            if found and not mark:
-                mark, length = found[1][0], len(found[1])
-            elif found and found[1][0] == mark and len(found[1]) >= length and not found[2].strip():
-                mark = ""
-        return out
-
-    return texts.map(of)
+def truncated_patch(text: Column, stop_reason: Column) -> Column:
+    """whether an answer was cut off: by its stop reason, an open fence, or an open end."""
+    return F.coalesce(stop_reason.isin("length", "max_tokens"), F.lit(False)) | unclosed_fence(text) | text.rlike(r"(?:\.\.\.|…|[,;:(\[{])\s*\z")
 
 
 def _stripped(text: Column) -> Column:

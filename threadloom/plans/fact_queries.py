@@ -21,6 +21,11 @@ _STEPS = rf"""
         WHEN operation = 'search' THEN json_extract_string(args, '$.pattern') ELSE concat('question=', json_extract_string(args, '$.question')) END) AS signature FROM known),
     steps2 AS (SELECT r.session_id, r.idx, r.call_id, r.is_error, r.text, c.call_idx, c.name, c.args, c.operation, c.path, c.signature
         FROM {{results}} r JOIN signed c ON r.session_id = c.session_id AND r.call_id = c.call_id)"""
+_SHELL = r"""
+        UNION ALL SELECT session_id, concat(regexp_extract(json_extract_string(args, '$.command'), 'rm -f (\S+)', 1), '.bak'), idx, 'mutate' FROM steps2
+            WHERE NOT is_error AND starts_with(json_extract_string(args, '$.command'), 'touch') AND NOT contains(text, 'exited')
+        UNION ALL SELECT session_id, regexp_extract(json_extract_string(args, '$.command'), 'rm -f (\S+)', 1), idx, 'delete' FROM steps2
+            WHERE NOT is_error AND starts_with(json_extract_string(args, '$.command'), 'touch') AND NOT contains(text, 'exited')"""
 _FAILED = r"""(regexp_matches(text, 'Command exited with code [1-9]\d*\s*$') OR regexp_matches(lower(text), '^(?:[^\n]*module not found|fatal:)'))"""
 _ERRORS = rf"""
     errors AS (SELECT session_id, idx, call_id, name AS tool, text AS message, signature FROM steps2
@@ -59,7 +64,7 @@ def call_signatures(calls: DataFrame, results: DataFrame) -> DataFrame:
     "results",
     sql=f"""WITH {_STEPS},
     acts AS (SELECT session_id, path, idx, CASE WHEN operation = 'mutate' AND text <> 'No changes applied' THEN 'mutate' WHEN operation = 'delete' THEN 'delete'
-        WHEN operation IN ('read', 'search', 'list') THEN 'access' END AS op FROM steps2 WHERE NOT is_error AND path IS NOT NULL),
+        WHEN operation IN ('read', 'search', 'list') THEN 'access' END AS op FROM steps2 WHERE NOT is_error AND path IS NOT NULL {_SHELL}),
     live AS (SELECT *, coalesce(max(idx) FILTER (WHERE op = 'delete') OVER (PARTITION BY session_id, path), -1) AS gone FROM acts WHERE op IS NOT NULL)
     SELECT session_id, path, count(*) FILTER (WHERE idx > gone AND op = 'mutate') AS modified_count, max(idx) FILTER (WHERE idx > gone AND op = 'mutate') AS last_modified,
         max(idx) FILTER (WHERE idx > gone AND op = 'access') AS last_read, CASE WHEN max(gone) = max(idx) THEN max(gone) END AS deleted_at FROM live GROUP BY 1, 2""",
@@ -178,9 +183,9 @@ def open_loops(messages: DataFrame) -> DataFrame:
     "results",
     sql=f"""WITH {_STEPS}, {_ERRORS}, {_RETRIED},
     acts AS (SELECT session_id, path, idx, CASE WHEN operation = 'mutate' AND text <> 'No changes applied' THEN 'mutate' WHEN operation = 'delete' THEN 'delete' END AS op
-        FROM steps2 WHERE NOT is_error AND path IS NOT NULL),
+        FROM steps2 WHERE NOT is_error AND path IS NOT NULL {_SHELL}),
     live AS (SELECT session_id, path FROM acts GROUP BY 1, 2 HAVING coalesce(max(idx) FILTER (WHERE op = 'mutate'), -1) > coalesce(max(idx) FILTER (WHERE op = 'delete'), -1)),
-    parts AS (SELECT session_id, path, unnest(CASE WHEN path LIKE '%index.ts' THEN [path, string_split(path, '/')[2] || '/index.ts']
+    parts AS (SELECT session_id, path, unnest(CASE WHEN path LIKE '%/index.ts' THEN [path, string_split(path, '/')[2] || '/index.ts']
         ELSE [path, string_split(path, '/')[2] || '/' || string_split(path, '/')[3], string_split(path, '/')[3]] END) AS needle FROM live),
     f AS (SELECT e.session_id, e.idx, string_agg(DISTINCT p.path, ',' ORDER BY p.path) AS files FROM retried e JOIN parts p ON p.session_id = e.session_id AND contains(lower(e.message), p.needle)
         WHERE NOT e.resolved GROUP BY 1, 2)

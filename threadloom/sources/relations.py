@@ -53,6 +53,7 @@ RELATIONS: dict[str, str] = {
                     ELSE concat('{{"path":"', path, '","content":""}}') END
                 ELSE CASE WHEN k % 5 = 0 THEN concat('{{"question":"Keep ', path, '?"}}')
                     WHEN k % 5 = 1 THEN concat('{{"cmd":"rg k', CAST(k % 7 AS STRING), ' src"}}')
+                    WHEN k % 5 = 3 THEN concat('{{"command":"touch ', path, '.bak && rm -f ', path, '"}}')
                     ELSE concat('{{"command":"  npm  test ', path, CASE WHEN k % 2 = 0 THEN ' --retry=3' ELSE '' END, '"}}') END
             END AS args
         FROM {steps}""",
