@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import documents, partitions, staged
+from .shared import documents, map_arrow, partitions, staged
 
 CAPACITY = 2048
 END = 0  # id that ends each document
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return docs.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_arrow(docs, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
