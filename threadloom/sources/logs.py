@@ -43,8 +43,9 @@ def find_log(spark: SparkSession, root: str, session_id: str, cwd_dir: str | Non
     named = files.select("path", name.alias("name"), folder.alias("folder")).where(
         (F.col("name") == f"{session_id}.jsonl") | F.col("name").endswith(f"_{session_id}.jsonl")
     )
-    own = F.when(F.col("folder") == cwd_dir, 0).otherwise(1) if cwd_dir else F.lit(0)
-    return named.orderBy(own, F.when(F.col("name") == f"{session_id}.jsonl", 0).otherwise(1), "path").limit(1).select("path")
+    elsewhere = F.col("folder") != F.lit(cwd_dir or "")
+    longer = F.col("name") != f"{session_id}.jsonl"
+    return named.orderBy(elsewhere, longer, "path").limit(1).select("path")
 
 
 def tail(rows: DataFrame, limit: int, order: str) -> DataFrame:
@@ -91,7 +92,7 @@ def backup_text(session: Column, stamp: Column, body: Column, redact: bool = Tru
 
 def list_backups(spark: SparkSession, path: str, limit: int = BACKUPS_LISTED) -> DataFrame:
     """Owned backups, newest first."""
-    files = spark.read.option("wholetext", True).text(path).where(F.col("value").startswith(BACKUP_MAGIC))
+    files = spark.read.text(path, wholetext=True).where(F.col("value").startswith(BACKUP_MAGIC))
     read = files.select(
         F.col("_metadata.file_path").alias("path"),
         F.regexp_extract("value", r"(?m)^Date: (.+)$", 1).alias("date"),
