@@ -160,3 +160,63 @@ def graph_stats(nodes: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("kind") == "session", F.col("session_id"))).alias("sessions"),
         F.max("updated_at").alias("updated_at"),
     )
+
+
+# ---------------------------------------------------------------- a state as nodes and edges
+
+# Confidence by kind of fact, and weights of reference edges.
+CONFIDENCE = {"goal": 0.98, "error": 0.95, "loop": 0.95, "critical": 0.95, "topic": 0.75, "file": 1.0}
+EXPLICIT, IMPLICIT, OTHER_CONFIDENCE = 0.98, 0.82, 0.85
+REFERENCE = {"loop": 0.9, "manual": 0.95}
+FACT_REFERENCE = 0.85
+TITLE_CHARS, CONTENT_CHARS, NODE_PATHS = 200, 2000, 20
+
+
+def fact_nodes(facts: DataFrame) -> DataFrame:
+    """G-1, G-5: facts (project_id, session_id, branch_id, kind, text, status, explicit, paths,
+    updated_at) as nodes: cut, keyed, with the confidence of their kind."""
+    from threadloom.functions.text import stable_id
+
+    confidence = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair]), F.col("kind")), F.lit(OTHER_CONFIDENCE))
+    decided = F.when(F.col("kind") == "decision", F.when(F.col("explicit"), F.lit(EXPLICIT)).otherwise(F.lit(IMPLICIT))).otherwise(confidence)
+    key = graph_key(F.col("text"))
+    parts = [F.col(c).cast("string") for c in ("project_id", "session_id", "kind")]
+    return facts.select(
+        stable_id(*parts, key, F.coalesce(F.col("branch_id").cast("string"), F.lit(""))).alias("node_id"),
+        "project_id", "session_id", "branch_id", "kind", key.alias("fact_key"),
+        F.substring("text", 1, TITLE_CHARS).alias("title"), F.substring("text", 1, CONTENT_CHARS).alias("content"),
+        "status", F.lit("compaction").alias("source"), decided.alias("confidence"),
+        F.slice(F.array_distinct("paths"), 1, NODE_PATHS).alias("paths"), "updated_at",
+    )
+
+
+def file_nodes(nodes: DataFrame) -> DataFrame:
+    """G-4: one node per project and path that facts refer to."""
+    from threadloom.functions.text import stable_id
+
+    paths = nodes.select("project_id", F.explode("paths").alias("path"), "updated_at").groupBy("project_id", "path").agg(F.max("updated_at").alias("updated_at"))
+    return paths.select(
+        stable_id(F.col("project_id").cast("string"), F.lit("file"), F.lower("path")).alias("node_id"), "project_id", F.lit("file").alias("kind"),
+        F.lower("path").alias("fact_key"), F.col("path").alias("title"), F.lit(CONFIDENCE["file"]).alias("confidence"), "updated_at",
+    )
+
+
+def reference_edges(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """G-1, G-2: edges from facts to the files they refer to."""
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in REFERENCE.items() for x in pair]), F.col("kind")), F.lit(FACT_REFERENCE))
+    told = nodes.select("project_id", F.col("node_id").alias("from_id"), F.explode("paths").alias("path"), weight.alias("weight"))
+    to = files.select("project_id", F.col("fact_key").alias("low"), F.col("node_id").alias("to_id"))
+    met = told.withColumn("low", F.lower("path")).join(to, ["project_id", "low"])
+    return met.groupBy("from_id", "to_id").agg(F.max("weight").alias("weight")).withColumn("relation", F.lit("references"))
+
+
+def tombstones(facts: DataFrame, latest: DataFrame, status: str) -> DataFrame:
+    """G-3: branch-local rows that retire facts whose latest version is not yet so; ancestors
+    stay as they are."""
+    now = latest.where(F.col("status") != status).select("session_id", "kind", "key")
+    return facts.join(now, ["session_id", "kind", "key"], "left_semi").select("session_id", "branch_id", "kind", "key", F.lit(status).alias("status"))
+
+
+def closed_memories(nodes: DataFrame, kind: str, key: str, status: str = "resolved") -> DataFrame:
+    """G-8: manual memories of a kind and key with their new status; the count is its rows."""
+    return nodes.where((F.col("source") == "manual") & (F.col("kind") == kind) & (graph_key(F.col("title")) == key)).withColumn("status", F.lit(status))

@@ -327,3 +327,108 @@ def repaired(summaries: DataFrame, parts: DataFrame, gaps: DataFrame) -> DataFra
     patched = upserted(parts, bodies, append=True).join(claims, "doc_id", "left")
     kept = F.filter(F.split("body", "\n"), lambda x: ~F.exists(F.coalesce("claims", F.array().cast("array<string>")), lambda c: F.endswith(_stripped(x), c)))
     return rendered(patched.withColumn("body", F.array_join(kept, "\n")).drop("claims"))
+
+
+def semantic_gaps(parts: DataFrame, facts: DataFrame) -> DataFrame:
+    """V4: facts (doc_id, kind, text, section) that their section does not bear out, or contradicts.
+
+    Kinds are constraint, goal and decision; a constraint may stand in the critical context
+    too. One row per fact and section is judged, in Arrow batches.
+    """
+    from threadloom.functions.semantics import judged
+
+    told = parts.select("doc_id", F.col("kind").alias("section"), "body")
+    also = parts.where("kind = 'critical-context'").select("doc_id", F.col("body").alias("context"))
+    met = facts.join(told, ["doc_id", "section"], "left").join(also, "doc_id", "left")
+    context = F.when(F.col("kind") == "constraint", F.coalesce("context", F.lit(""))).otherwise("")
+    target = F.concat_ws("\n", F.coalesce("body", F.lit("")), context)
+    seen = met.withColumn("j", judged(F.col("text"), target))
+    goal = F.col("kind") == "goal"
+    missing = _gap(seen.where("NOT j.evidence"), F.concat(F.lit("missing-"), "kind"), F.col("text"), F.when(goal, 12).otherwise(8))
+    against = _gap(seen.where("j.contradiction"), "inconsistency", F.concat(F.col("kind"), F.lit(" contradicted: "), F.substring("text", 1, 80)), 20)
+    return missing.unionByName(against)
+
+
+# ---------------------------------------------------------------- lines and paths in sections
+
+
+def next_actions(parts: DataFrame, most: int = 15) -> DataFrame:
+    """The bullets of the next steps, in order."""
+    return _bullets(parts, "next-steps", most)
+
+
+def critical_context(parts: DataFrame, most: int = 20) -> DataFrame:
+    """C52."""
+    return _bullets(parts, "critical-context", most)
+
+
+def _bullets(parts: DataFrame, kind: str, most: int) -> DataFrame:
+    rows = parts.where(F.col("kind") == kind).select("doc_id", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    bare = _stripped(F.regexp_replace("line", r"\A\s*(?:[-*+]|\d+[.)])\s+(?:\[[ xX]\]\s+)?", ""))
+    said = rows.withColumn("text", bare).where((F.col("text") != "") & ~F.lower("text").isin("none", "none recorded"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    return said.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("doc_id", "place", "text")
+
+
+def path_line(path: Column, most: int) -> Column:
+    """A path as one JSON string; a long one as its end and a digest of all of it."""
+    quoted = F.regexp_extract(F.to_json(F.array(path)), r"(?s)\A\[(.*)\]\z", 1)
+    digest = F.substring(F.sha2(path, 256), 1, 8)
+    short = F.to_json(F.array(F.concat(F.lit("…"), F.right(path, F.lit(max(1, most - 13))), F.lit("#"), digest)))
+    return F.when(F.length(quoted) <= most, quoted).otherwise(F.regexp_extract(short, r"(?s)\A\[(.*)\]\z", 1))
+
+
+def path_evidence(paths: DataFrame, budget_chars: int) -> DataFrame:
+    """Paths (doc_id, path) as lines; whole while the document's budget allows, else short.
+
+    Whether all fit whole is one sum per document, so the choice is a window, not a loop.
+    """
+    whole = F.sum(F.length(path_line(F.col("path"), 1 << 20)) + 3).over(Window.partitionBy("doc_id"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    share = F.greatest(F.lit(24), F.floor(F.lit(budget_chars) / n).cast("int"))
+    digest = F.substring(F.sha2("path", 256), 1, 8)
+    short = F.concat(F.lit('"…'), F.expr("right(path, greatest(1, share - 13))"), F.lit("#"), digest, F.lit('"'))
+    line = F.when((F.col("whole") <= budget_chars) | (F.length(path_line(F.col("path"), 1 << 20)) <= F.col("share")), path_line(F.col("path"), 1 << 20)).otherwise(short)
+    return paths.withColumns({"whole": whole, "share": share}).select("doc_id", "path", F.concat(F.lit("- "), line).alias("line"))
+
+
+def delta_section(changes: DataFrame) -> DataFrame:
+    """Changes (doc_id, kind, text, change) as the body of the section that tells of them."""
+    label = F.concat(F.initcap("change"), F.lit(" "), F.col("kind"), F.lit(": "), F.regexp_replace("text", r"\s+", " "))
+    told = changes.where("change <> 'persistent'")
+    lines = F.array_sort(F.collect_list(F.concat(F.lit("- "), label)))
+    return told.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text")).select("doc_id", F.lit("changes").alias("kind"), "text")
+
+
+def with_delta(parts: DataFrame, changes: DataFrame) -> DataFrame:
+    """The section of changes put in, or put anew."""
+    return upserted(parts, delta_section(changes))
+
+
+def with_open_loops(parts: DataFrame, loops: DataFrame) -> DataFrame:
+    """Unresolved loops (doc_id, text, priority) as the open-loops section."""
+    line = F.concat(F.lit("- ["), "priority", F.lit("] "), F.regexp_replace("text", r"\s+", " "))
+    bodies = loops.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return upserted(parts, bodies.select("doc_id", F.lit("open-loops").alias("kind"), "text"))
+
+
+def with_pinned_paths(parts: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Pinned paths (doc_id, path) that the files section does not list yet."""
+    listed = listed_paths(parts).where("kind = 'files-modified'").select("doc_id", "path")
+    new = pinned.distinct().join(listed, ["doc_id", "path"], "left_anti")
+    bodies = new.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "path"))), "\n").alias("text"))
+    return upserted(parts, bodies.select("doc_id", F.lit("files-modified").alias("kind"), "text"), append=True)
+
+
+def recall_text(results: DataFrame, most: int = 4000) -> DataFrame:
+    """Results (doc_id, place, kind, title, content) as one bounded text; tags are disarmed."""
+    line = F.regexp_replace(F.concat(F.lit("- ["), "kind", F.lit("] "), "title", F.lit(": "), "content"), r"<(/?[A-Za-z])", "‹$1")
+    order = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    sized = results.withColumn("line", line).withColumn("upto", F.sum(F.length("line") + 1).over(order)).where(F.col("upto") <= most)
+    lines = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return sized.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+
+def section_identity(kind: Column, heading: Column) -> Column:
+    """E31."""
+    return F.when(kind == "unknown", F.concat(F.lit("unknown:"), F.lower(F.trim(F.regexp_replace(heading, r"\A#+\s*", ""))))).otherwise(kind)
