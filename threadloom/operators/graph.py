@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.numbers import clamp, half_up
-from threadloom.functions.text import graph_key
+from threadloom.functions.text import graph_key, stable_id
 
 # Fixed values.
 CANDIDATES, SEEDS, MOST_RESULTS = 80, 12, 10
@@ -175,8 +175,6 @@ TITLE_CHARS, CONTENT_CHARS, NODE_PATHS = 200, 2000, 20
 def fact_nodes(facts: DataFrame) -> DataFrame:
     """G-1, G-5: facts (project_id, session_id, branch_id, kind, text, status, explicit, paths,
     updated_at) as nodes: cut, keyed, with the confidence of their kind."""
-    from threadloom.functions.text import stable_id
-
     confidence = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair]), F.col("kind")), F.lit(OTHER_CONFIDENCE))
     decided = F.when(F.col("kind") == "decision", F.when(F.col("explicit"), F.lit(EXPLICIT)).otherwise(F.lit(IMPLICIT))).otherwise(confidence)
     key = graph_key(F.col("text"))
@@ -192,8 +190,6 @@ def fact_nodes(facts: DataFrame) -> DataFrame:
 
 def file_nodes(nodes: DataFrame) -> DataFrame:
     """G-4: one node per project and path that facts refer to."""
-    from threadloom.functions.text import stable_id
-
     paths = nodes.select("project_id", F.explode("paths").alias("path"), "updated_at").groupBy("project_id", "path").agg(F.max("updated_at").alias("updated_at"))
     return paths.select(
         stable_id(F.col("project_id").cast("string"), F.lit("file"), F.lower("path")).alias("node_id"), "project_id", F.lit("file").alias("kind"),

@@ -244,3 +244,41 @@ def project_root(paths: DataFrame, *keys: str, depth: int = 3, share: float = 0.
     )
     good = prefixes.where(F.col("held") >= F.col("n") * share)
     return good.groupBy(*keys).agg(F.max_by("root", F.struct("depth", "held", "root")).alias("root"))
+
+
+# ---------------------------------------------------------------- incremental extraction
+
+
+def merged_file_states(base: DataFrame, later: DataFrame, offset: Column) -> DataFrame:
+    """T6 for files: states (session_id, path, modified_count, last_modified, last_read,
+    deleted_at) of a prefix and of what follows it, whose positions start at ``offset``.
+
+    A path deleted later is deleted; one touched later is present; counts add up.
+    """
+    b, d = base.alias("b"), later.alias("d")
+    met = b.join(d, (F.col("b.session_id") == F.col("d.session_id")) & (F.col("b.path") == F.col("d.path")), "full")
+    gone = F.col("d.deleted_at").isNotNull()
+    touched = F.col("d.path").isNotNull() & ~gone
+
+    def last(name: str) -> Column:
+        return F.when(~gone, F.coalesce(F.col(f"d.{name}") + offset, F.col(f"b.{name}"))).alias(name)
+
+    count = F.coalesce("b.modified_count", F.lit(0)) + F.coalesce("d.modified_count", F.lit(0))
+    return met.select(
+        F.coalesce("b.session_id", "d.session_id").alias("session_id"),
+        F.coalesce("b.path", "d.path").alias("path"),
+        F.when(gone, 0).otherwise(count).cast("long").alias("modified_count"),
+        last("last_modified"),
+        last("last_read"),
+        F.when(gone, F.col("d.deleted_at") + offset).when(touched, F.lit(None)).otherwise(F.col("b.deleted_at")).alias("deleted_at"),
+    )
+
+
+def merged_rows(base: DataFrame, later: DataFrame, offset: Column, cap: int, *keys: str) -> DataFrame:
+    """T6 for lists of facts: the later rows moved by the offset, and the newest of each session
+    up to the cap; of rows with equal ``keys`` the first stays."""
+    both = base.unionByName(later.withColumn("idx", F.col("idx") + offset))
+    first = Window.partitionBy("session_id", *keys).orderBy("idx")
+    back = Window.partitionBy("session_id").orderBy(F.desc("idx"), *keys)
+    once = both.withColumn("__n__", F.row_number().over(first)).where("__n__ = 1")
+    return once.withColumn("__b__", F.row_number().over(back)).where(F.col("__b__") <= cap).drop("__n__", "__b__")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import jsons as J
 from threadloom.functions import semantics as V
 from threadloom.operators import graph as G
 from threadloom.operators import reduction as R
+from threadloom.operators import state as S
 from threadloom.operators import summary as Y
 from threadloom.operators import telemetry as T
 from threadloom.plans.message_queries import _SUMMARY, _summaries
@@ -155,8 +156,6 @@ def state_edges(facts: DataFrame) -> DataFrame:
 )
 def phase_shares(calls: DataFrame) -> DataFrame:
     """Each phase's part of a provider's time; a total of zero counts as one."""
-    from pyspark.sql import Window
-
     sums = calls.groupBy("provider", "phase").agg(F.sum("latency_ms").alias("ms"))
     total = F.greatest(F.lit(1), F.sum("ms").over(Window.partitionBy("provider")))
     return sums.withColumn("share", F.round(F.col("ms") / total, 6))
@@ -172,10 +171,51 @@ def phase_shares(calls: DataFrame) -> DataFrame:
 )
 def route_quality_attribution(calls: DataFrame) -> DataFrame:
     """A run's quality belongs to its route only if exactly one synthesis route succeeded."""
-    from pyspark.sql import Window
-
     stage = T.provider_stage(F.col("phase"))
     routes = calls.groupBy(F.expr("event_id div 4").alias("run"), stage.alias("stage"), "provider", "model").agg(F.max("success").alias("ok"))
     good = (F.col("stage") == "synthesize") & F.col("ok")
     n = F.count(F.when(good, 1)).over(Window.partitionBy("run"))
     return routes.withColumn("n", n).select("run", "stage", "provider", "model", F.when((F.col("n") == 1) & good, 90.0).alias("quality"))
+
+
+_STATES = "SELECT session_id, path, count(*) FILTER (WHERE k % 3 = 0) AS modified_count, max(ord) FILTER (WHERE k % 3 = 0) AS last_modified, max(ord) FILTER (WHERE k % 3 = 1) AS last_read, CASE WHEN max(ord) = max(ord) FILTER (WHERE k % 3 = 2) THEN max(ord) END AS deleted_at FROM {steps}"
+
+
+def _states(steps: DataFrame) -> DataFrame:
+    kind, at = F.col("k") % 3, F.col("ord")
+    gone = F.max(F.when(kind == 2, at))
+    return steps.groupBy("session_id", "path").agg(
+        F.count(F.when(kind == 0, 1)).alias("modified_count"),
+        F.max(F.when(kind == 0, at)).alias("last_modified"),
+        F.max(F.when(kind == 1, at)).alias("last_read"),
+        F.when(F.max(at) == gone, gone).alias("deleted_at"),
+    )
+
+
+@query(
+    "merged_file_states",
+    "steps",
+    sql=f"""
+    WITH b AS ({_STATES} WHERE ord < 30 GROUP BY 1, 2), d AS ({_STATES} WHERE ord >= 30 GROUP BY 1, 2)
+    SELECT coalesce(b.session_id, d.session_id) AS session_id, coalesce(b.path, d.path) AS path,
+        CASE WHEN d.deleted_at IS NOT NULL THEN 0 ELSE coalesce(b.modified_count, 0) + coalesce(d.modified_count, 0) END AS modified_count,
+        CASE WHEN d.deleted_at IS NULL THEN coalesce(d.last_modified + 100, b.last_modified) END AS last_modified,
+        CASE WHEN d.deleted_at IS NULL THEN coalesce(d.last_read + 100, b.last_read) END AS last_read,
+        CASE WHEN d.deleted_at IS NOT NULL THEN d.deleted_at + 100 WHEN d.path IS NOT NULL THEN NULL ELSE b.deleted_at END AS deleted_at
+    FROM b FULL JOIN d ON b.session_id = d.session_id AND b.path = d.path""",
+)
+def merged_file_states(steps: DataFrame) -> DataFrame:
+    return S.merged_file_states(_states(steps.where("ord < 30")), _states(steps.where("ord >= 30")), F.lit(100))
+
+
+@query(
+    "merged_fact_rows",
+    "steps",
+    sql="""
+    WITH a AS (SELECT session_id, ord AS idx, path FROM {steps} WHERE ord < 30 UNION ALL SELECT session_id, ord + 100, path FROM {steps} WHERE ord >= 30),
+    o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY session_id, path ORDER BY idx) = 1)
+    SELECT session_id, idx, path FROM o QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY idx DESC, path) <= 8""",
+)
+def merged_fact_rows(steps: DataFrame) -> DataFrame:
+    rows = steps.select("session_id", F.col("ord").alias("idx"), "path")
+    return S.merged_rows(rows.where("idx < 30"), rows.where("idx >= 30"), F.lit(100), 8, "path")
