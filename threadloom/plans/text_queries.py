@@ -237,15 +237,13 @@ def heading_kinds(lineage: DataFrame) -> DataFrame:
 @query(
     "metric_texts",
     "runs",
-    sql="""SELECT run_id, CASE WHEN duration_ms <= 0 THEN '0ms' WHEN duration_ms >= 600000 THEN printf('%.0fm', duration_ms / 60000.0) WHEN duration_ms >= 60000 THEN printf('%.1fm', duration_ms / 60000.0)
-        WHEN duration_ms >= 10000 THEN printf('%.0fs', duration_ms / 1000.0) WHEN duration_ms >= 1000 THEN printf('%.1fs', duration_ms / 1000.0) ELSE concat(CAST(duration_ms AS VARCHAR), 'ms') END AS duration,
-        concat(CAST(context_percent AS VARCHAR), '%') AS context, coalesce(CAST(CAST(verification_score AS BIGINT) AS VARCHAR) || '/100', '—') AS score,
-        replace(replace(concat('<', model, '>'), '<', '&lt;'), '>', '&gt;') AS html
-    FROM {runs} WHERE context_percent <= 100 AND duration_ms % 100 NOT IN (50, 0)""",
+    sql="""SELECT run_id, CASE WHEN duration_ms <= 0 THEN '0ms' WHEN duration_ms >= 600000 THEN printf('%.0fm', floor(duration_ms / 60000.0 + 0.5)) WHEN duration_ms >= 60000 THEN printf('%.1fm', floor(duration_ms / 6000.0 + 0.5) / 10)
+        WHEN duration_ms >= 10000 THEN printf('%.0fs', floor(duration_ms / 1000.0 + 0.5)) WHEN duration_ms >= 1000 THEN printf('%.1fs', floor(duration_ms / 100.0 + 0.5) / 10) ELSE concat(CAST(duration_ms AS VARCHAR), 'ms') END AS duration,
+        concat(CAST(least(100, context_percent) AS VARCHAR), '%') AS context, coalesce(CAST(CAST(verification_score AS BIGINT) AS VARCHAR) || '/100', '—') AS score,
+        replace(replace(concat('<', model, '>'), '<', '&lt;'), '>', '&gt;') AS html FROM {runs}""",
 )
 def metric_texts(runs: DataFrame) -> DataFrame:
-    shown = runs.where("context_percent <= 100 AND duration_ms % 100 NOT IN (50, 0)")
-    return shown.select(
+    return runs.select(
         "run_id",
         X.duration_text(F.col("duration_ms")).alias("duration"),
         X.percent_text(F.col("context_percent") / 100).alias("context"),
