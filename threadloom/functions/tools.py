@@ -144,7 +144,7 @@ def command_failed(text: Column) -> Column:
 def benign_search(args: Column, result: Column) -> Column:
     """a chain of searches that found nothing, or something."""
     command = F.coalesce(_get(args, "command"), _get(args, "cmd"), F.lit(""))
-    parts = F.filter(F.transform(F.split(command, "&&"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(command, "&&"), lambda p: F.trim(p)), lambda p: p != "")
     only = (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(r"\A(?:rg|grep)\b")) & ~command.rlike(r"[;\n]|\|\|")
     code = F.nullif(F.regexp_extract(result, r"(?i)Command exited with code (\d+)\s*\z", 1), F.lit(""))
     return only & ~result.rlike(r"(?:^|\n)(?:rg|grep):") & (code.isNull() | (code == "1"))
