@@ -99,8 +99,12 @@ def context_sums(texts: DataFrame) -> np.ndarray:
                 for step in range(1, REACH + 1):
                     if len(t) > step:
                         np.add.at(pairs, t[:-step] * TERMS + t[step:], 1)
-        counts = pairs.reshape(TERMS, TERMS)
-        sums = ((counts + counts.T) @ index_vectors().astype(np.float64)).round().astype(np.int64).ravel()
+        counts, index = pairs.reshape(TERMS, TERMS), index_vectors()
+        some = np.flatnonzero(counts.any(axis=0) | counts.any(axis=1))  # the terms that occur
+        counts = counts[np.ix_(some, some)]
+        sums = np.zeros((TERMS, DIMENSIONS), np.int64)
+        sums[some] = counts @ index[some] + counts.T @ index[some]
+        sums = sums.ravel()
         cells = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(cells), pa.array(sums[cells])], names=["cell", "total"])
 
