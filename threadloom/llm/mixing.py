@@ -115,6 +115,7 @@ def mix_sources(
     wanted = targets(totals, weights, share, most)
 
     def planned(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size")  # rows come in any order; equal runs must choose alike
         key = pdf["key"].iloc[0]
         source = key[1:] if key else None
         words, target = totals[source], wanted[source]
