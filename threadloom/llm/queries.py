@@ -19,7 +19,7 @@ from .shared import load, shared_dir
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
-from .warc import archived, fixity, write_warc
+from .warc import ARCHIVE_ROWS, archived, copy_warc, fixity, write_warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +57,11 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves the length as it is), so that the answer is known.
     """
     at = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}"
-    records = archived(load(spark, sf_dir, "pages"))
-    write_warc(records, f"{at}/warc-a")
-    damaged = F.when(F.col("page_id") % 53 == 7, F.regexp_replace("record", "<!DOCTYPE", "<!doctype"))
-    write_warc(records.withColumn("record", F.coalesce(damaged, F.col("record"))), f"{at}/warc-b")
+    pages = load(spark, sf_dir, "pages")
+    write_warc(archived(pages), f"{at}/warc-a", archives=pages.count() // ARCHIVE_ROWS + 1)
+    page = F.regexp_extract("record", r"<urn:page:(-?\d+)>", 1).cast("long")
+    damaged = F.when(page % 53 == 7, F.regexp_replace("record", "<!DOCTYPE", "<!doctype"))
+    copy_warc(spark, f"{at}/warc-a", f"{at}/warc-b", F.coalesce(damaged, F.col("record")))
     found, bad = fixity(spark, f"{at}/warc-a", f"{at}/warc-b")
     bad = bad.withColumn("damaged", F.lit(True))
     return found.join(bad, ["archive", "seq"], "left").select(
