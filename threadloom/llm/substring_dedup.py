@@ -99,7 +99,7 @@ def _short(h: np.ndarray) -> np.ndarray:
 class _Packing:
     """How entries travel: buckets (a power of two, 256 or more) and bytes of a hash."""
 
-    def __init__(self, buckets: int, width: int, parts: int, later: bool) -> None:
+    def __init__(self, buckets: int, width: int, parts: np.ndarray, later: bool) -> None:
         self.buckets, self.width, self.parts, self.later = buckets, width, parts, later
 
     @property
@@ -161,9 +161,18 @@ class _Packing:
             yield (part, *_stepped(ids[i:j]), names[i:j].tobytes())
 
 
-def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    """The part of the documents that an id belongs to."""
-    return (_mixed(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _part(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The key of the part of the documents that an id belongs to."""
+    return parts[(_mixed(ids.view(np.uint64)) % np.uint64(len(parts))).astype(np.int64)]
+
+
+def _keys(docs: DataFrame) -> np.ndarray:
+    """One number for each shuffle partition, that Spark's hash deals to that partition: parts
+    keyed by them are spread evenly."""
+    n = partitions(docs)
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    rows = docs.sparkSession.range(32 * n + 64).groupBy(place.alias("p")).agg(F.min("id").alias("key")).collect()
+    return np.array([r["key"] for r in sorted(rows)], np.int64)
 
 
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -275,7 +284,7 @@ def _with_hits(
     """``judge`` of each row of ``texts`` (q, k, z, ...) and what its k was told.
 
     Both sides are brought together by part of the documents, the hits first. A part's hits
-    fit in memory: there are twice as many parts as shuffle partitions.
+    fit in memory: there are as many parts as shuffle partitions.
     """
     others = [c for c in texts.columns if c not in ("q", "k")]
     sides = texts.withColumn("text", F.lit(1)).unionByName(hits.withColumn("text", F.lit(0)), allowMissingColumns=True)
@@ -353,7 +362,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
     """
     buckets, short, long = _sizes(docs)
-    parts = 2 * partitions(docs)
+    parts = _keys(docs)
     by_anchor, by_window = _Packing(buckets, short, parts, later=False), _Packing(buckets, long, parts, later=True)
     base = documents(docs, id_col, text_col).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.col("text").cast("binary").alias("text")
