@@ -107,7 +107,7 @@ def runs(spark, canary_errors, n=20):
     frame = spark.createDataFrame(rows, "run_key long, run_id string, release_channel string, status string")
     return frame.withColumns(
         {"metrics_schema_version": F.lit(2), "version": F.lit("1"), "verification_score": F.lit(90.0), "duration_ms": F.lit(500), "avg_latency": F.lit(500), "total_input": F.lit(10),
-         "cache_hit": F.lit(0), "cache_write": F.lit(0), "total_output": F.lit(1), "method": F.lit("eesv")}
+         "cache_hit": F.lit(0), "cache_write": F.lit(0), "total_output": F.lit(1), "method": F.lit("staged")}
     )
 
 

@@ -112,7 +112,7 @@ def test_percentiles(spark):
     runs = spark.createDataFrame([(i, f"run-{i:06d}", "success", float(i)) for i in range(1, 41)], "run_key long, run_id string, status string, duration_ms double")
     for name, value in {"avg_latency": 0, "total_input": 0, "cache_hit": 0, "cache_write": 0, "total_output": 0, "total_calls": 1}.items():
         runs = runs.withColumn(name, F.lit(value))
-    runs = runs.withColumns({"verification_score": F.lit(90.0), "method": F.lit("eesv")})
+    runs = runs.withColumns({"verification_score": F.lit(90.0), "method": F.lit("staged")})
     damage = spark.createDataFrame([], "run_id string, damage_score double")
     assert T.window_stats(runs, damage).first()["p95_latency_ms"] == 38  # nearest rank
     assert T.dashboard(runs).first()["p95_duration"] == 39  # floor index

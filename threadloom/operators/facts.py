@@ -43,7 +43,7 @@ HISTORY = (
     r"(?is)\A(?:The conversation history before this point was compacted|The following is a summary of a branch that this conversation "
     r"came back from).*<summary>"
 )
-STATUS_LINE = r"(?i)\A(?:EESV Compact\b|Smart compact (?:skipped|prepared|run finished)\b|Auto-compacting\b)"
+STATUS_LINE = r"\A(?:[A-Z]{2,6} (?i:compact)\b|(?i:[a-z]+ compact (?:skipped|prepared|run finished))\b|(?i:auto-compacting)\b)"
 COMPLETED = (
     rf"(?iu){_EDGE}(?:done|completed?|finished|implemented|fixed|resolved|updated|added|removed|shipped|tamamland[ıi]|tamamlad[ıi]m|"
     rf"bitti|[çc][öo]z[üu]ld[üu]){_END}"

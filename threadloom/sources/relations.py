@@ -110,7 +110,7 @@ RELATIONS: dict[str, str] = {
             CAST(o_orderkey % 9000 AS BIGINT) AS total_input, CAST(o_orderkey % 700 AS BIGINT) AS total_output,
             CAST(o_orderkey % 1100 AS BIGINT) AS cache_hit, CAST(o_orderkey % 90 AS BIGINT) AS cache_write,
             CAST(o_orderkey % 101 AS INT) AS context_percent, CAST(o_custkey % 101 AS INT) AS tool_percent,
-            CASE WHEN o_orderkey % 11 = 0 THEN 'heuristic' ELSE 'eesv' END AS method,
+            CASE WHEN o_orderkey % 11 = 0 THEN 'heuristic' ELSE 'staged' END AS method,
             CASE o_orderkey % 7 WHEN 1 THEN 'light' WHEN 2 THEN 'balanced' ELSE 'aggressive' END AS profile,
             CASE o_orderkey % 23 WHEN 1 THEN 'rate-limit' WHEN 2 THEN 'provider' WHEN 3 THEN 'made-up' ELSE CAST(NULL AS STRING) END AS failure_kind
         FROM {orders}""",
