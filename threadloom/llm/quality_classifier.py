@@ -227,10 +227,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Null and empty texts are scored by their marks alone; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # of a fixed size
+    # Of a fixed size; plain arrays, which workers can read without this module.
+    sent = spark.sparkContext.broadcast(tuple(getattr(model, k) for k in Model.__dataclass_fields__))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, model = _Terms(), sent.value
+        terms, model = _Terms(), Model(*sent.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.binary())
             if not batch.num_rows:
