@@ -10,7 +10,6 @@ import math
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,7 +51,6 @@ def tokens(text: str) -> list[str]:
     return [t for t in found if len(t) > 2]
 
 
-@lru_cache(maxsize=512)
 def fragments(text: str) -> tuple[tuple[str, ...], ...]:
     """The stems of each line, and of each clause of it, once."""
     parts: dict[str, None] = {}
@@ -83,7 +81,6 @@ def _near(words: tuple[str, ...], at: int, reach: int = 2) -> range:
     return range(max(0, at - reach), min(len(words), at + reach + 1))
 
 
-@lru_cache(maxsize=512)
 def shape(text: str) -> Shape:
     words = tuple(tokens(text))
     light = WEIGHTLESS | NEGATIONS | CONDITIONS
@@ -118,13 +115,16 @@ def _restated(fact: Shape, words: tuple[str, ...], met: int) -> bool:
     return "without" in fact.words and any(w in CONDITIONS for w in words) and met >= min(2, len(fact.concepts))
 
 
-def _judged(source: str, target: str) -> tuple[bool, bool]:
-    """(borne out, contradicted) by any fragment of the target."""
+def _judged(source: str, target: str, known: dict | None = None) -> tuple[bool, bool]:
+    """(borne out, contradicted) by any fragment of the target; ``known`` remembers targets."""
     fact = shape(source)
     if not fact.concepts:
         return True, False
+    parts = fragments(target) if known is None else known.get(target)
+    if parts is None:
+        parts = known[target] = fragments(target)
     borne = against = False
-    for words in fragments(target):
+    for words in parts:
         have = set(words)
         met = sum(c in have for c in fact.concepts)
         if met < fact.needed:
@@ -142,7 +142,8 @@ def _judged(source: str, target: str) -> tuple[bool, bool]:
 
 
 def _pairs(source: pd.Series, target: pd.Series) -> pd.DataFrame:
-    rows = [_judged(s or "", t or "") for s, t in zip(source, target, strict=True)]
+    known: dict = {}
+    rows = [_judged(s or "", t or "", known) for s, t in zip(source, target, strict=True)]
     return pd.DataFrame(rows, columns=["evidence", "contradiction"], dtype=bool)
 
 
