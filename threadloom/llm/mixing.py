@@ -136,7 +136,7 @@ def mix_sources(
     parts = rows.where("take > 0 AND take < n").groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("m"))
     before = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = staged(parts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))), "parts")
-    chosen = rows.where("take > 0 AND take < n").join(parts, ["key", "size", "part"])
+    chosen = rows.where("take > 0 AND take < n").join(parts.hint("merge"), ["key", "size", "part"])  # as many as documents
     room = F.col("take") - F.col("before")
     clear = chosen.where((room <= 0) | (room >= F.col("m"))).withColumn("extra", F.when(room > 0, 1).otherwise(0))
     place = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("h", "doc_id"))
