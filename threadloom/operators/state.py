@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import fact_key
+from threadloom.functions.text import evidence_line, fact_key, project_hash
 
 # The most items of a kind that a state keeps.
 CAPS = {
@@ -211,9 +211,16 @@ def within_bytes(rows: DataFrame, cap: int, *keys: str, order: str, size: str) -
 
 # Languages by file extension, frameworks by path pattern (the first that fits).
 LANGUAGES = {
-    "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "py": "Python", "rs": "Rust", "go": "Go", "java": "Java",
-    "rb": "Ruby", "cs": "C#", "cpp": "C++", "c": "C", "swift": "Swift", "kt": "Kotlin", "php": "PHP",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "rs": "rust", "py": "python", "go": "go", "java": "java",
+    "rb": "ruby", "cs": "csharp", "cpp": "cpp", "c": "c", "h": "c", "swift": "swift", "kt": "kotlin", "php": "php",
 }
+FRAMEWORKS = (
+    ("nextjs", "next\\.config"), ("nuxt", "nuxt\\.config"), ("vite", "vite\\.config"), ("astro", "astro\\.config"), ("tailwind", "tailwind\\.config"),
+    ("django", "django"), ("flask", "flask"), ("cargo", "cargo\\.toml"), ("go-modules", "go\\.mod"), ("bundler", "Gemfile"), ("node", "package\\.json"),
+)
+FOREIGN_PATH = r"(?:node_modules|[/\\]\.cache|[/\\]\.npm|[/\\]\.bun|[/\\]\.git[/\\])"
+CAPSULE_CHARS, CAPSULE_LINE, CAPSULE_HEAD = 4000, 300, "## Continuity Ledger"
+PREVIOUS_SUMMARY_CHARS = 12_000
 
 
 def main_language(paths: DataFrame, *keys: str) -> DataFrame:
@@ -282,3 +289,104 @@ def merged_rows(base: DataFrame, later: DataFrame, offset: Column, cap: int, *ke
     back = Window.partitionBy("session_id").orderBy(F.desc("idx"), *keys)
     once = both.withColumn("__n__", F.row_number().over(first)).where("__n__ = 1")
     return once.withColumn("__b__", F.row_number().over(back)).where(F.col("__b__") <= cap).drop("__n__", "__b__")
+
+
+def project_paths(paths: DataFrame) -> DataFrame:
+    """paths that can tell a project: not those of dependencies and caches."""
+    return paths.where(~F.col("path").rlike(FOREIGN_PATH))
+
+
+def framework(paths: DataFrame, *keys: str) -> DataFrame:
+    """The first framework in the list of which any path shows a sign."""
+    sign = F.coalesce(*[F.when(F.col("path").rlike(f"(?i){p}"), F.lit(i)) for i, (_, p) in enumerate(FRAMEWORKS)])
+    names = F.array(*[F.lit(n) for n, _ in FRAMEWORKS])
+    first = paths.groupBy(*keys).agg(F.min(sign).alias("i"))
+    return first.select(*keys, F.get(names, F.col("i")).alias("framework"))
+
+
+def relative_project(paths: DataFrame, *keys: str, most: int = 8) -> DataFrame:
+    """A project id from the first parts of relative paths and their commonest two-part folders."""
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    split = paths.withColumn("parts", parts).where(F.size("parts") > 0)
+    tops = split.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(F.get("parts", F.lit(0)))), ",").alias("tops"))
+    folders = split.where(F.size("parts") >= 2).groupBy(*keys, F.array_join(F.slice("parts", 1, 2), "/").alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "dir")
+    best = folders.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    dirs = best.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("dir")), ",").alias("dirs"))
+    seed = F.concat("tops", F.lit("|"), F.coalesce("dirs", F.lit("")))
+    return tops.join(dirs, list(keys), "left").select(*keys, project_hash(seed).alias("project_id"))
+
+
+def fingerprint(paths: DataFrame, *keys: str, files: int = 50, dirs: int = 20) -> DataFrame:
+    """What is kept of a project: its last files and folders, and how many sessions it had."""
+    folder = F.regexp_extract("path", r"\A(.*)/[^/]+\z", 1)
+    last_files, _ = recent_unique(paths, files, *keys, item="path")
+    last_dirs, _ = recent_unique(paths.withColumn("dir", folder).where("dir <> ''"), dirs, *keys, item="dir")
+    sessions = paths.groupBy(*keys).agg(F.count_distinct("session_id").alias("sessions"))
+    told = last_files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
+    held = last_dirs.groupBy(*keys).agg(F.count(F.lit(1)).alias("dirs"))
+    return sessions.join(told, list(keys), "left").join(held, list(keys), "left")
+
+
+def project_context(rows: DataFrame) -> DataFrame:
+    """A fingerprint (project_id, sessions, language, framework, dirs) in words."""
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit("## Project Context (learned from "), F.col("sessions").cast("string"), F.lit(" session(s))")),
+        F.concat(F.lit("Language: "), F.coalesce("language", F.lit("unknown"))),
+        F.concat(F.lit("Framework: "), "framework"),
+        F.concat(F.lit("Key dirs: "), F.nullif("dirs", F.lit(""))),
+    )
+    return rows.select("project_id", lines.alias("text"))
+
+
+def previous_context(branch: DataFrame) -> DataFrame:
+    """What the latest compaction of a branch says; of equal stamps the later entry."""
+    last = branch.where("type = 'compaction'").groupBy("session_id").agg(
+        F.max_by(F.struct("method", "topics", "summary"), F.struct(F.coalesce(F.try_to_timestamp("stamp"), F.lit(0).cast("timestamp")), "ord")).alias("c")
+    )
+    topics = F.coalesce(F.nullif(F.array_join("c.topics", ", "), F.lit("")), F.lit("unknown"))
+    head = F.concat(
+        F.lit("[IMPORTANT: Previous compaction exists ("), F.coalesce("c.method", F.lit("unknown")), F.lit("). Already summarized topics: "), topics,
+        F.lit(". Build upon this, don't drop still-relevant facts.]"),
+    )
+    body = F.concat(F.lit("Previous verified summary:\n"), F.nullif(F.substring("c.summary", 1, PREVIOUS_SUMMARY_CHARS), F.lit("")))
+    return last.select("session_id", F.concat_ws("\n\n", head, body).alias("text"))
+
+
+def continuity_capsule(items: DataFrame, existing: DataFrame, most: int = CAPSULE_CHARS) -> DataFrame:
+    """Facts (session_id, ord, label, text) as lines under a head, in order, while they fit;
+    facts that the text at hand holds already are left out.
+
+    A line that does not fit is passed over, and later ones may fit: a fold over one
+    session's lines.
+    """
+    at_hand = existing.select("session_id", fact_key(F.col("text")).alias("held"))
+    said = items.withColumn("said", evidence_line(F.col("text"), CAPSULE_LINE)).where("said <> ''").join(at_hand, "session_id", "left")
+    new = said.where(F.col("held").isNull() | ~F.contains(F.col("held"), fact_key(F.col("said"))))
+    line = F.concat(F.lit("- "), "label", F.lit(": "), "said")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"])
+    text = F.aggregate(
+        ordered, F.lit(CAPSULE_HEAD), lambda a, x: F.when(F.length(a) + F.length(x) + 1 <= most, F.concat(a, F.lit("\n"), x)).otherwise(a)
+    )
+    return new.groupBy("session_id").agg(F.nullif(text, F.lit(CAPSULE_HEAD)).alias("text"))
+
+
+def deduped_text(items: DataFrame, *keys: str) -> DataFrame:
+    """Items in order of first sight, each once, with how often it came."""
+    once = items.groupBy(*keys, fact_key(F.col("text")).alias("key")).agg(F.min_by("text", "ord").alias("text"), F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    told = F.concat("text", F.when(F.col("n") > 1, F.concat(F.lit(" ×"), F.col("n").cast("string"))).otherwise(""))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", told.alias("t"))))
+    return once.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "; ").alias("text"))
+
+
+def preprocessed(summaries: DataFrame) -> DataFrame:
+    """Chunk summaries (session_id, ord, decisions, files) put together: decisions once, as
+    first seen; files once, sorted."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "decisions", "files")))
+    merged = summaries.groupBy("session_id").agg(ordered.alias("s"))
+    return merged.select(
+        "session_id",
+        F.array_distinct(F.flatten(F.transform("s", lambda x: x["decisions"]))).alias("decisions"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: x["files"])))).alias("files"),
+    )

@@ -523,3 +523,31 @@ def calibration(calls: DataFrame, *, by: tuple[str, ...] = ("provider", "model")
     ordered = F.array_sort(F.collect_list(F.struct("event_id", (F.col("actual") / F.col("estimated")).alias("ratio"))))
     fold = F.aggregate(ordered, F.lit(1.0), lambda f, x: f * 0.7 + F.least(F.lit(3.0), F.greatest(F.lit(0.3), f * x["ratio"])) * 0.3)
     return usable.groupBy(*by).agg(F.round(fold, 6).alias("factor"), F.count(F.lit(1)).alias("samples"))
+
+
+# Fixed value: how a provider says that it knows no tools.
+NO_TOOLS = (
+    r"(?i)(?:(?:tools?|function(?:[ -]calling)?).{0,60}(?:unsupported|not supported|unknown|unavailable|invalid)|"
+    r"(?:unsupported|does not support|doesn't support).{0,60}(?:tools?|function))"
+)
+
+
+def rejects_tools(status: Column, message: Column) -> Column:
+    """whether an error says outright that tools are not supported."""
+    return F.coalesce(status.isin(400, 404, 422) & message.rlike(NO_TOOLS), F.lit(False))
+
+
+def session_identity(session_id: Column) -> Column:
+    """The host's id, or one that cannot be taken for another."""
+    return F.coalesce(F.nullif(session_id, F.lit("")), F.concat(F.lit("unresolved:"), F.uuid()))
+
+
+def unresolved(session_id: Column) -> Column:
+    """F28."""
+    return session_id.startswith("unresolved:")
+
+
+def clamped_tokens(requested: Column, model_most: Column) -> Column:
+    """Requested tokens within the model's bound, at least one."""
+    bound = F.when((model_most > 0) & ~F.isnan(model_most.cast("double")), model_most).otherwise(requested)
+    return F.greatest(F.lit(1), F.least(requested, bound))

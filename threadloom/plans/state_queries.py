@@ -191,7 +191,7 @@ _PATHS = "SELECT session_id, ord, concat('/home/u', CAST(session_id % 5 AS STRIN
     "project_fingerprints",
     "steps",
     sql=f"""
-    WITH p AS ({_PATHS}), l AS (SELECT session_id, CASE WHEN path LIKE '%.py' THEN 'Python' ELSE 'TypeScript' END AS language, count(*) AS files, min(ord) AS seen FROM p GROUP BY 1, 2),
+    WITH p AS ({_PATHS}), l AS (SELECT session_id, CASE WHEN path LIKE '%.py' THEN 'python' ELSE 'typescript' END AS language, count(*) AS files, min(ord) AS seen FROM p GROUP BY 1, 2),
     a AS (SELECT session_id, arg_max(language, {{{{'f': files, 's': -seen}}}}) AS language, max(files) AS files FROM l GROUP BY 1),
     w AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, count(*) OVER (PARTITION BY session_id) AS n FROM p),
     x AS (SELECT session_id, n, parts, unnest(range(3, len(parts))) AS depth FROM w WHERE len(parts) > 3),
