@@ -42,8 +42,12 @@ class PreTokens:
             spec = json.load(file)
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        if steps != ["NFC", "Replace", "Lowercase"] or len(splits) != 1:
-            raise ValueError("a normaliser of NFC, Replace, Lowercase and one Split pattern are expected")
+        if steps != ["NFC", "Replace", "Lowercase"] or len(splits) != 1 or spec["model"]["type"] != "BPE":
+            raise ValueError("a byte-level BPE with a normaliser of NFC, Replace, Lowercase and one Split pattern is expected")
+        # Byte-level models spell a byte as itself if it prints, else as a letter from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.byte_names = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
         pattern = splits[0]["pattern"]["Regex"]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.other = re.compile(f"[^\\x00-\\u{PLAIN - 1:04x}]")
@@ -68,9 +72,14 @@ class PreTokens:
             return self.plain_text.findall(text.lower())
         return self.any_text.findall(self.tokenizer.normalizer.normalize_str(text))
 
-    def pieces(self, pretokens: list[str]) -> list[int]:
-        got = self.tokenizer.encode_batch(pretokens, add_special_tokens=False)
-        return [len(e.ids) for e in got]
+    def pieces(self, pretokens: list[bytes]) -> list[int]:
+        """How many pieces the model makes of each pre-token, given as its bytes."""
+        split, spelled = self.tokenizer.model.tokenize, self.byte_names.__getitem__
+        return [len(split("".join(map(spelled, p)))) for p in pretokens]
+
+    def tokens(self, text: str) -> int:
+        """Tokens of a whole text, by the library alone."""
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def token_counts(
@@ -95,7 +104,7 @@ def token_counts(
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = split.of(text)
-                n = sum(split.pieces([text])) if found is None else 0
+                n = split.tokens(text) if found is None else 0
                 block.add(doc_id, len(text.encode()), n, found or [])
                 if block.size >= BLOCK_BYTES:
                     yield from block.flush()
@@ -111,7 +120,7 @@ def token_counts(
             if len(counted) > 1 << 20:  # rows come sorted: an older pre-token does not come back
                 counted.clear()
                 new = list({k for k in keys if k is not None})
-            counted.update(zip(new, split.pieces([k.decode() for k in new]), strict=True))
+            counted.update(zip(new, split.pieces(new), strict=True))
             yield from _summed(batch, keys, counted)
 
     inverted = map_arrow(base, lists, LISTS)
@@ -193,21 +202,33 @@ def _lists(pretokens: list, block: int, docs: list[bytes], counts: list[bytes])
 
 
 def _summed(batch: pa.RecordBatch, keys: list[bytes | None], counted: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Sums per document of the lists in a batch; documents' own lists as they are."""
-    rids, tokens = [], []
-    columns = (batch.column(c) for c in ("block", "docs", "counts"))
+    """Sums per document of the lists in a batch; documents' own lists as they are.
+
+    Most lists are short, so all narrow ones are decoded in one go.
+    """
+    rids, tokens, narrow = [], [], []
+    columns = (batch.column(c).to_pylist() for c in ("block", "docs", "counts"))
     for key, block, docs, counts in zip(keys, *columns, strict=True):
-        docs, counts, block = docs.as_py(), counts.as_py(), block.as_py()
         if key is None:
-            heads = pa.ipc.open_stream(docs).read_all()
-            rid = pa.array(np.arange(len(heads)) + block)
-            heads = heads.combine_chunks().to_batches()[0]
-            yield _sums(rid, *heads.columns)
-            continue
-        step = np.frombuffer(docs, "<u4" if docs[4] else np.uint8, offset=5)
-        times = np.frombuffer(counts, "<u4" if counts[0] else np.uint8, offset=1)
-        rids.append(np.cumsum(step, dtype=np.int64) + (block + int.from_bytes(docs[:4], "little")))
-        tokens.append(times.astype(np.int64) * counted[key])
+            heads = pa.ipc.open_stream(docs).read_all().combine_chunks().to_batches()[0]
+            yield _sums(pa.array(np.arange(heads.num_rows) + block), *heads.columns)
+        elif docs[4] or counts[0]:
+            step = np.frombuffer(docs, "<u4" if docs[4] else np.uint8, offset=5)
+            times = np.frombuffer(counts, "<u4" if counts[0] else np.uint8, offset=1)
+            rids.append(np.cumsum(step, dtype=np.int64) + (block + int.from_bytes(docs[:4], "little")))
+            tokens.append(times.astype(np.int64) * counted[key])
+        else:
+            narrow.append((block, docs, counts, counted[key]))
+    if narrow:
+        blocks, docs, counts, pieces = zip(*narrow, strict=True)
+        sizes = np.fromiter(map(len, counts), np.int64, len(counts)) - 1
+        starts = np.cumsum(sizes) - sizes
+        first = np.frombuffer(b"".join([d[:4] for d in docs]), "<u4").astype(np.int64) + np.array(blocks, np.int64)
+        # A list's first step is 0, so its places are running sums less the sum at its start.
+        sums = np.cumsum(np.frombuffer(b"".join([d[5:] for d in docs]), np.uint8), dtype=np.int64)
+        rids.append(sums + np.repeat(first - sums[starts], sizes))
+        times = np.frombuffer(b"".join([c[1:] for c in counts]), np.uint8).astype(np.int64)
+        tokens.append(times * np.repeat(np.array(pieces, np.int64), sizes))
     if rids:
         rid, place = np.unique(np.concatenate(rids), return_inverse=True)
         n = np.bincount(place, np.concatenate(tokens)).astype(np.int64)
