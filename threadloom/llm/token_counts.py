@@ -117,7 +117,7 @@ def token_counts(
         for batch in batches:
             keys = batch.column("pretoken").to_pylist()
             new = list({k for k in keys if k is not None} - counted.keys())
-            if len(counted) > 1 << 20:  # rows come sorted: an older pre-token does not come back
+            if len(counted) > 1 << 16:  # rows come sorted: an older pre-token does not come back
                 counted.clear()
                 new = list({k for k in keys if k is not None})
             counted.update(zip(new, split.pieces(new), strict=True))
