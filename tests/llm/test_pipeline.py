@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -43,6 +44,42 @@ def test_near_stage(spark, docs):
     assert sorted(kept) == sorted(set(brute_components(rows, 2)))
 
 
+def five_word_sets(texts):
+    words = [t.encode().lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def test_near_stage_finds_near_copies(spark):
+    """Against brute-force Jaccard at 0.8: edits too many for 2 bits, just under 0.8, a crowd, a chain."""
+    rng = random.Random(3)
+    texts = []
+    for edits in (0, 1, 2, 3, 4, 5, 6, 8):
+        for _ in range(4):
+            base = [f"w{rng.randrange(900)}" for _ in range(150)]
+            copy = list(base)
+            for at in rng.sample(range(150), edits):
+                copy[at] = f"v{rng.randrange(900)}"
+            texts += [" ".join(base), " ".join(copy).upper()]
+    crowd = [f"c{i}" for i in range(120)]
+    for i in range(40):
+        texts.append(" ".join(crowd[: i % 7] + [f"z{i}"] + crowd[i % 7 + 1 :]))
+    texts += ["", " ", "a b", "A  b", "a b c", " ".join(f"k{i}" for i in range(100)), " ".join(f"k{i}" for i in range(12, 112))]
+    texts.append(" ".join(f"k{i}" for i in range(6, 106)))  # links the two before it, which are not near
+    rng.shuffle(texts)
+    sets = five_word_sets(texts)
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near(spark, frame, SF).collect())
+    assert kept == sorted({label.index(x) for x in label})
+    simhash = set(brute_components([(i, brute_fingerprint(t)) for i, t in enumerate(texts)], 2))
+    assert len(kept) < len(simhash)
+
+
 def test_mix_stage_repeats_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mixed = corpus_pipeline.mix(spark, docs, SF)
