@@ -80,6 +80,33 @@ def test_near_stage_finds_near_copies(spark):
     assert len(kept) < len(simhash)
 
 
+@pytest.mark.parametrize("stage", ["exact", "near", "mix"])
+def test_keys_hold_when_files_are_split_anew(spark, tmp_path, monkeypatch, stage):
+    """Files are packed into other partitions after the rows are chosen; no document may be lost for it."""
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(40)), "en", "a", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(12).write.parquet(
+        str(tmp_path / "docs")
+    )
+    docs, staged = spark.read.parquet(str(tmp_path / "docs")), corpus_pipeline.staged
+    want = Counter(r["doc_id"] for r in getattr(corpus_pipeline, stage)(spark, docs, SF).collect())
+    name = "spark.sql.files.maxPartitionBytes"
+
+    def split_anew(df, label):
+        found = staged(df, label)
+        if label in ("kept", "copies"):
+            spark.conf.set(name, "2000")
+        return found
+
+    monkeypatch.setattr(corpus_pipeline, "staged", split_anew)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = Counter(r["doc_id"] for r in getattr(corpus_pipeline, stage)(spark, spark.read.parquet(str(tmp_path / "docs")), SF).collect())
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and len(want) > 30
+
+
 def test_mix_stage_repeats_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mixed = corpus_pipeline.mix(spark, docs, SF)
