@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threadloom.llm import packing, pii, queries, simhash, warc
+from threadloom.llm import packing, pii, quality_classifier, queries, simhash, warc
 from threadloom.llm.components import component_labels
 from threadloom.llm.exact_dedup import block_naming_dedup
 from threadloom.llm.mixing import fit, mix_sources, targets
@@ -180,6 +180,15 @@ def test_held_out(spark):
     assert [r[1] for r in rows] == [zlib.crc32(b"1") % 3 == 1, zlib.crc32(b"") % 3 == 1]
 
 
+def test_whole_text_and_whole_words_count():
+    """What comes after 100,000 words or 1000 bytes of one word counts as much as what comes before."""
+    short, long = [b"ab"] * 100_000, [b"w" * 30] * 100_000
+    marks = quality_classifier._marks(b"", short + long)
+    assert quality_classifier._term(b"mwidth:16") in marks and quality_classifier._term(b"mwidth:2") not in marks
+    terms = quality_classifier._Terms()
+    assert terms[b"w" * 2000] != terms[b"w" * 1999 + b"9"]
+
+
 # ---------------------------------------------------------------- 4
 
 

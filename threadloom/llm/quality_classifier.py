@@ -49,7 +49,7 @@ class _Terms(dict):
     """Words to terms, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        name = b"w" + word if _PLAIN.fullmatch(word) else b"s" + _RUN.sub(rb"\1", word[:1000].translate(_SHAPE))
+        name = b"w" + word if _PLAIN.fullmatch(word) else b"s" + _RUN.sub(rb"\1", word.translate(_SHAPE))
         if len(self) >= KNOWN:
             self.clear()
         self[word] = found = _term(name)
@@ -72,7 +72,7 @@ def _marks(text: bytes, words: list[bytes]) -> list[int]:
     }
     marks = [b"m%s:%d" % (k, int(10 * v + 0.5)) for k, v in shares.items()]
     marks += [b"mlength:%d" % len(words).bit_length(), b"mlineful:%d" % (len(words) // max(1, len(lines))).bit_length()]
-    marks.append(b"mwidth:%d" % min(20, round(sum(map(len, words[:100_000])) / min(n, 100_000))))
+    marks.append(b"mwidth:%d" % min(20, round(sum(map(len, words)) / n)))
     return [_term(m) for m in marks]
 
 
