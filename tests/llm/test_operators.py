@@ -410,6 +410,21 @@ def test_added_spans():
     assert pii.masked("x a@b.co y", finder.spans("x a@b.co y")) == "x [email] y"
 
 
+@pytest.mark.parametrize("after", ["BIC COBADEFFXXX", "2024", "12 EUR", "A B C D E F", "BIC", "ok", "", "X" * 40, "1 2 3 4 5 6 7 8 9 0"])
+def test_iban_before_capitals_and_digits(after):
+    finder = pii.Finder()
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"):
+        text = f"pay {iban} {after}"
+        spans = [s for s in finder.spans(text) if s[0] == "iban"]
+        assert spans == [("iban", 4, 4 + len(iban))]
+        assert iban not in pii.masked(text, finder.spans(text))
+
+
+def test_iban_of_unlisted_country():
+    spans = pii.Finder().spans("pay ZZ22 3704 0044 0532 0130 00 BIC ok")
+    assert [s for s in spans if s[0] == "iban"] == [("iban", 4, 31)]
+
+
 # ---------------------------------------------------------------- 10
 
 

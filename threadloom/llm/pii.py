@@ -25,6 +25,17 @@ _IP_RUN, _IP = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\
 _CARD_RUN, _CARD = re.compile(r"[\x20\-0-9]+"), re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by its country.
+_IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+    ).split())
+    for country in countries.split(",")
+}
+_IBAN_OF = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(_IBAN_LENGTHS.values())}
 _URL = re.compile(r"://[^\x00-\x20\"'<>()\[\]{}|\\^`]+")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME_CHARS = _NAME - frozenset("_%")
@@ -112,8 +123,14 @@ class Finder:
     def _iban(text: str, at: int) -> Span | None:
         if not ("A" <= text[at - 1] <= "Z" and "A" <= text[at - 2] <= "Z") or (at > 2 and text[at - 3].isalnum()):
             return None
-        m = _IBAN.match(text, at - 2)
-        return ("iban", at - 2, m.end()) if m and _mod97(m[0].replace(" ", "")) else None
+        length = _IBAN_LENGTHS.get(text[at - 2 : at])
+        m = (_IBAN_OF[length] if length else _IBAN).match(text, at - 2)
+        while m:  # without a known length, the longest end at the edge of a word where the check number holds
+            if _mod97(m[0].replace(" ", "")):
+                return ("iban", at - 2, m.end())
+            cut = -1 if length else text.rfind(" ", at - 2, m.end())
+            m = _IBAN.fullmatch(text, at - 2, cut) if cut > 0 else None
+        return None
 
 
 def joined(spans: list[Span]) -> str:
