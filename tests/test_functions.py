@@ -93,19 +93,59 @@ def test_goal_barrier(spark):
     assert got == {1: "Ship it", 2: "first"}
 
 
-def test_boundaries():
-    calls = [None, None, 1, 0, None, 4]
-    assert R.guard_back(calls, 2) == 0  # result 2 pulls to 1, result 3 to 0
-    assert R.guard_back(calls, 5) == 4
-    results = [False, False, True, True, False, True]
-    assert R.guard_forward(results, calls, 2) == 4
-
-
-def test_plan_reasons():
-    plan = R.plan_session([100] * 10, ["user", "assistant"] * 5, [None] * 10, 1000, R.Asked("fast", None))
-    assert plan["reason"] == "no-eligible-prefix"
-    big = R.plan_session([1000] * 120, ["user", "assistant"] * 60, [None] * 120, 120_000, R.Asked("fast", 150_000))
-    assert big["reason"] == "viable" and 0 < big["keep_from"] < 120
+def _turns(spark, *turns):
+    """Turns given as (role, call_id, tokens, tool_name, file, anchor), the last three optional."""
+    rows = [(1, i, *t, *(None,) * (6 - len(t))) for i, t in enumerate(turns)]
+    df = spark.createDataFrame(rows, "session_id long, idx long, role string, call_id string, tokens long, tool_name string, path string, anchor boolean")
+    return df.select("*", F.array_compact(F.array("path")).alias("files")).withColumn("anchor", F.coalesce("anchor", F.lit(False))).drop("path")
+
+
+def test_boundaries(spark):
+    turns = [("assistant", "a"), ("assistant", "b"), ("toolResult", "b"), ("toolResult", "a"), ("assistant", "c"), ("toolResult", "c"), ("toolResult", "lost")]
+    rows = R.boundary_facts(_turns(spark, *((*t, 1) for t in turns))).orderBy("pos").collect()
+    assert [r["safe_back"] for r in rows] == [0, 0, 0, 0, 4, 4, 6]
+    assert [r["safe_on"] for r in rows] == [0, 4, 4, 4, 4, None, None]
+
+
+def test_portable_and_near(spark):
+    turns = [("assistant", "a", 1, "read", "x/f.ts"), ("assistant", "b", 1, "mcp/read", "y/f.ts"), ("toolResult", "a", 1, "read"), ("toolResult", "b", 1, "mcp/read"), ("user", None, 1)]
+    rows = R.boundary_facts(_turns(spark, *turns)).orderBy("pos").collect()
+    assert [r["portable_from"] for r in rows] == [4, 4, 4, 4, 0]
+    assert [r["near"] for r in rows] == [False, True, False, False, False]
+
+
+def test_plan_reasons(spark):
+    short = _turns(spark, *[(r, None, 100) for r in ["user", "assistant"] * 5])
+    assert R.plan_windows(short, None, 1.0, ("fast",)).first()["reason"] == "no-eligible-prefix"
+    long = _turns(spark, *[(r, None, 1000) for r in ["user", "assistant"] * 60])
+    plan = R.plan_windows(long, 150_000, 1.0, ("fast",)).first()
+    assert plan["reason"] == "viable" and 0 < plan["keep_from"] < 120
+    held = _turns(spark, *[("assistant", "a", 1000), *[("assistant", None, 1000)] * 118, ("toolResult", "a", 1000)])
+    assert R.plan_windows(held, 150_000, 1.0, ("fast",)).first()["reason"] == "no-eligible-prefix"
+    odd = _turns(spark, *[("user", None, 1000)] * 119, ("assistant", "a", 1000, "mcp.tool"))
+    assert R.plan_windows(odd, 150_000, 1.0, ("fast",)).first()["reason"] == "unsafe-tool-boundary"
+
+
+def test_anchor_boundary(spark):
+    rows = [("user", None, 1000)] * 60 + [("toolResult", None, 1000, "context", None, True)] + [("assistant", None, 1000)] * 59
+    free = R.plan_windows(_turns(spark, *[r[:3] for r in rows]), 150_000, 1.0, ("thorough",)).first()
+    plan = R.plan_windows(_turns(spark, *rows), 150_000, 1.0, ("thorough",)).first()
+    assert plan["keep_from"] == min(60, free["keep_from"])
+
+
+def test_status_labels(spark):
+    turns = spark.createDataFrame(
+        [(1, i, "user", None, t, False, 1) for i, t in enumerate(["[host] a", "b", "[host] c", "[other] d", "e"])],
+        "session_id long, idx long, role string, call_id string, text string, is_error boolean, tokens long",
+    )
+    gone = spark.createDataFrame([], "session_id long, call_id string")
+    texts = lambda *labels: [r["text"] for r in R.pruned(turns, gone, status_labels=labels).orderBy("idx").collect()]
+    assert texts("[host]") == ["b", "[host] c", "[other] d", "e"]
+    assert len(texts()) == 5
+    summary = "The conversation history before this point was compacted\n<summary>\n## Goal\nHOST run skipped\n## Progress\n- x"
+    messages = spark.createDataFrame([(1, 0, "user", summary)], "session_id long, idx long, role string, text string")
+    assert O.main_goal(messages, ["Host run"]).first()["goal"] is None
+    assert O.main_goal(messages).first()["goal"] == "HOST run skipped"
 
 
 def test_percentiles(spark):

@@ -11,7 +11,7 @@ from threadloom.plans import registry
 SF = "/root/testdata/sf0.001"
 PYTHON = {
     "file_states", "error_loops", "shell_operations", "summary_sections", "verification_gaps", "verification_scores", "verification_messages",
-    "repaired_summaries", "semantic_gaps", "semantic_stems", "critical_context", "window_plans", "window_plan_outcomes", "recommended_modes",
+    "repaired_summaries", "semantic_gaps", "semantic_stems", "critical_context",
     "session_topics", "session_chunks", "canonical_arguments", "scrubbed_arguments", "repaired_reports", "dry_run_completions",
 }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +72,11 @@ PHONE = r"(?<![A-Za-z0-9_.])(?:\+?\d[\d ()-]{8,}\d)(?![A-Za-z0-9_.])"
 # ---------------------------------------------------------------- keys, lines, hashes
 
 
+def begins_with(text: Column, labels: Sequence[str]) -> Column:
+    """Whether the text begins with one of the labels, taken literally."""
+    return reduce(lambda found, label: found | text.startswith(label), labels, F.lit(False))
+
+
 def fact_key(text: Column) -> Column:
     """Lower case, runs of white space as one blank, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))

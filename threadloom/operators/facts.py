@@ -7,12 +7,14 @@ of a session. Joins and windows are by session and key, never over all sessions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import tools as K
 from threadloom.functions.shell import file_operations
-from threadloom.functions.text import evidence_line, fact_key, path_needles
+from threadloom.functions.text import begins_with, evidence_line, fact_key, path_needles
 
 # Cue patterns in the order in which they are tried, and windows and caps.
 CHOICE = r"(?i)use\s+\S+\s+(?:instead|not|rather)|don't\s+use|avoid\s+|switch\s+to\s+|go\s+with\s+|prefer\s+"
@@ -43,7 +45,6 @@ HISTORY = (
     r"(?is)\A(?:The conversation history before this point was compacted|The following is a summary of a branch that this conversation "
     r"came back from).*<summary>"
 )
-STATUS_LINE = r"\A(?:[A-Z]{2,6} (?i:compact)\b|(?i:[a-z]+ compact (?:skipped|prepared|run finished))\b|(?i:auto-compacting)\b)"
 COMPLETED = (
     rf"(?iu){_EDGE}(?:done|completed?|finished|implemented|fixed|resolved|updated|added|removed|shipped|tamamland[ıi]|tamamlad[ıi]m|"
     rf"bitti|[çc][öo]z[üu]ld[üu]){_END}"
@@ -205,10 +206,11 @@ def timeline(messages: DataFrame, errors: DataFrame, full: int = 30, requests: i
     return both.withColumns({"n": n, "back": back}).where(kept).drop("n", "back")
 
 
-def main_goal(messages: DataFrame) -> DataFrame:
+def main_goal(messages: DataFrame, status_labels: Sequence[str] = ()) -> DataFrame:
     """The latest substantive user request of each session.
 
-    A turn that carries a compacted history is a barrier: only its Goal section counts.
+    A turn that carries a compacted history is a barrier: only its Goal section counts, and
+    not if it begins with one of the host's ``status_labels`` (in any case).
     """
     text = F.trim("text")
     barrier = text.rlike(HISTORY)
@@ -216,7 +218,7 @@ def main_goal(messages: DataFrame) -> DataFrame:
     last = users.groupBy("session_id").agg(F.max_by(F.struct(text.alias("text"), barrier.alias("barrier")), "idx").alias("m"))
     section = F.regexp_extract("m.text", r"(?is)(?:\A|\n)#{1,3}\s+(?:goals?|objectives?)[:\s]*\n(.*?)(?=\n#{1,3}\s|\z)", 1)
     carried = evidence_line(section, MESSAGE_CHARS)
-    status = F.regexp_replace(carried, "\\A[\"'`]+", "").rlike(STATUS_LINE)
+    status = begins_with(F.lower(F.regexp_replace(carried, "\\A[\"'`]+", "")), [x.lower() for x in status_labels])
     goal = F.when(F.col("m.barrier"), F.when(~status, carried)).otherwise(evidence_line(F.col("m.text"), MESSAGE_CHARS))
     return last.select("session_id", F.nullif(goal, F.lit("")).alias("goal"))
 

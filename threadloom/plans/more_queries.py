@@ -13,6 +13,7 @@ from threadloom.operators import state as S
 from threadloom.operators import summary as Y
 from threadloom.operators import telemetry as T
 from threadloom.plans.message_queries import _SUMMARY, _summaries
+from threadloom.plans.reduction_queries import plan_sql, with_files
 from threadloom.plans.registry import query
 
 
@@ -44,10 +45,13 @@ def bounded_texts(docs: DataFrame) -> DataFrame:
 
 @query(
     "recommended_modes",
-    "turns",
+    "window_turns",
+    sql=f"""WITH {plan_sql(150_000)}, best AS (SELECT session_id, max(saved_tokens) FILTER (WHERE reason = 'viable') AS saved FROM plans GROUP BY 1)
+    SELECT b.session_id, min(mode) FILTER (WHERE reason = 'viable' AND saved_tokens = saved) AS mode, coalesce(any_value(saved), 0.0e0) AS saved_tokens
+    FROM best b JOIN plans p ON p.session_id = b.session_id GROUP BY 1""",
 )
 def recommended_modes(turns: DataFrame) -> DataFrame:
-    return R.recommended(R.plan_windows(turns, 150_000))
+    return R.recommended(R.plan_windows(with_files(turns), 150_000))
 
 
 @query(

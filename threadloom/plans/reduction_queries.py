@@ -70,22 +70,78 @@ def protected_user_turn(turns: DataFrame) -> DataFrame:
     return R.protected_user_turn(turns)
 
 
-@query("window_plans", "turns")
+def plan_sql(context_window: int, modes: str = "'fast', 'balanced', 'thorough'") -> str:
+    """Window plans as common table expressions, the last of them ``plans``; boundaries by search."""
+    return f"""tp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS pos FROM {{window_turns}}),
+    cp AS (SELECT session_id, call_id, max(pos) AS c FROM tp WHERE role = 'assistant' AND call_id IS NOT NULL GROUP BY ALL),
+    pairs AS MATERIALIZED (SELECT tp.session_id, c, pos AS r FROM tp JOIN cp USING (session_id, call_id) WHERE role = 'toolResult' AND pos > c),
+    facts AS MATERIALIZED (SELECT tp.session_id, tp.pos, tp.tokens, tp.role, tp.anchor,
+        NOT EXISTS (SELECT 1 FROM pairs p WHERE p.session_id = tp.session_id AND p.c < tp.pos AND tp.pos <= p.r) AS safe,
+        tp.role = 'toolResult' AND cp.c IS NULL AS lone,
+        coalesce(regexp_extract(tp.path, '[^/]*$') = regexp_extract(before.path, '[^/]*$'), false) AS near,
+        CASE WHEN regexp_full_match(tp.tool_name, '[A-Za-z0-9_-]{{{{1,64}}}}') OR tp.tool_name IS NULL THEN 0 WHEN tp.role = 'toolResult' THEN tp.pos + 1
+            WHEN tp.role = 'assistant' THEN coalesce((SELECT max(r) + 1 FROM pairs p WHERE p.session_id = tp.session_id AND p.c = tp.pos), tp.pos + 1) ELSE 0 END AS odd_end
+        FROM tp LEFT JOIN cp USING (session_id, call_id) LEFT JOIN tp before ON before.session_id = tp.session_id AND before.pos = tp.pos - 1),
+    f AS MATERIALIZED (SELECT a.session_id, a.pos, a.role, a.near, coalesce((SELECT sum(b.tokens) FROM facts b WHERE b.session_id = a.session_id AND b.pos < a.pos), 0) AS before, a.tokens,
+        (SELECT max(b.pos) FROM facts b WHERE b.session_id = a.session_id AND b.pos <= a.pos AND b.safe) AS back,
+        (SELECT min(b.pos) FROM facts b WHERE b.session_id = a.session_id AND b.pos >= a.pos AND b.safe AND NOT b.lone) AS ahead,
+        (SELECT max(b.odd_end) FROM facts b WHERE b.session_id = a.session_id AND b.pos >= a.pos) AS odd FROM facts a),
+    s AS (SELECT session_id, count(*) AS n, sum(tokens) AS total, max(pos) FILTER (WHERE anchor) AS anchored,
+        (SELECT min(pos) FROM (SELECT pos FROM facts u WHERE u.session_id = facts.session_id AND u.role = 'user' ORDER BY pos DESC LIMIT 2)) AS users FROM facts GROUP BY 1),
+    modes AS (SELECT * FROM (VALUES ('fast', 30, 3000, 10000), ('balanced', 40, 6000, 20000), ('thorough', 50, 10000, 30000)) m(mode, percent, summary, least) WHERE mode IN ({modes})),
+    m AS (SELECT *, total * 0.2e0 AS fixed, total * 1.2e0 AS used, least(2 * least, greatest(least, {context_window} * 0.04e0)) AS keep, summary + ceil(summary / 4.0) AS room, {context_window} * percent / 100.0 AS goal FROM s, modes),
+    m1 AS (SELECT *, greatest(keep, greatest(0, goal - fixed - room)) AS ceiling FROM m),
+    m2 AS (SELECT m1.*, least(n - 1, coalesce((SELECT max(pos) + 1 FROM f WHERE f.session_id = m1.session_id AND total - before - tokens >= keep AND total - before > ceiling), 0)) AS k0 FROM m1),
+    m3 AS (SELECT m2.*, greatest(ceiling, total - f.before) AS most FROM m2 JOIN f ON f.session_id = m2.session_id AND f.pos = k0),
+    m4 AS (SELECT m3.*, users < k0 AS t1, g.pos AS g1, total - g.before <= most AS o1 FROM m3 LEFT JOIN f c ON c.session_id = m3.session_id AND c.pos = users LEFT JOIN f g ON g.session_id = m3.session_id AND g.pos = c.back),
+    m5 AS (SELECT *, CASE WHEN t1 AND o1 THEN g1 ELSE k0 END AS k1 FROM m4),
+    m6 AS (SELECT m5.*, anchored < k1 AS t2, g.pos AS g2, total - g.before <= most AS o2 FROM m5 LEFT JOIN f c ON c.session_id = m5.session_id AND c.pos = anchored LEFT JOIN f g ON g.session_id = m5.session_id AND g.pos = c.back),
+    m7 AS (SELECT *, CASE WHEN t2 AND o2 THEN g2 ELSE k1 END AS k2 FROM m6),
+    m8 AS (SELECT m7.*, x.near AND k2 > 0 AS t3, g.pos AS g3, total - g.before <= most AS o3 FROM m7 JOIN f x ON x.session_id = m7.session_id AND x.pos = k2
+        LEFT JOIN f c ON c.session_id = m7.session_id AND c.pos = k2 - 1 LEFT JOIN f g ON g.session_id = m7.session_id AND g.pos = c.back),
+    m9 AS (SELECT *, CASE WHEN t3 AND o3 THEN g3 ELSE k2 END AS k3 FROM m8),
+    h AS (SELECT m9.*, CASE WHEN total - b.before > most AND x.ahead > k3 AND total - a.before <= most THEN x.ahead ELSE x.back END AS k4 FROM m9 JOIN f x ON x.session_id = m9.session_id AND x.pos = k3
+        JOIN f b ON b.session_id = m9.session_id AND b.pos = x.back LEFT JOIN f a ON a.session_id = m9.session_id AND a.pos = x.ahead),
+    e AS (SELECT h.*, greatest(k4, odd) >= n AS blocked, CASE WHEN greatest(k4, odd) >= n THEN k4 ELSE greatest(k4, odd) END AS k5 FROM h JOIN f ON f.session_id = h.session_id AND f.pos = k4),
+    z AS (SELECT e.*, f.before, total - f.before AS kept, f.role AS first_role, fixed + total - f.before + room AS after FROM e JOIN f ON f.session_id = e.session_id AND f.pos = k5),
+    plans AS (SELECT session_id, mode, CAST(k5 AS BIGINT) AS keep_from, CAST(before AS BIGINT) AS compact_tokens, CAST(kept AS BIGINT) AS retained_tokens, CAST(after AS DOUBLE) AS after_tokens,
+        CAST(greatest(0, used - after) AS DOUBLE) AS saved_tokens, CAST(goal AS DOUBLE) AS target_tokens,
+        coalesce(t1 AND o1 AND g1 <> users, false) OR coalesce(t2 AND o2 AND g2 <> anchored, false) OR coalesce(t3 AND o3 AND g3 <> k2 - 1, false) OR k5 <> k3 AS adjusted,
+        concat_ws(',', CASE WHEN t1 AND NOT o1 THEN 'recent-user-turn' END, CASE WHEN t2 AND NOT o2 THEN 'anchor' END, CASE WHEN t3 AND NOT o3 THEN 'topical' END) AS relaxed,
+        CASE WHEN blocked OR first_role = 'toolResult' THEN 'unsafe-tool-boundary' WHEN k5 <= 0 THEN 'no-eligible-prefix' WHEN kept > most THEN 'retention-target-exceeded'
+            WHEN after > goal THEN 'mode-target-not-met' WHEN greatest(0, used - after) / used < 0.1 THEN 'insufficient-projected-saving' ELSE 'viable' END AS reason FROM z)"""
+
+
+def with_files(turns: DataFrame) -> DataFrame:
+    return turns.withColumn("files", F.array_compact(F.array("path"))).drop("path")
+
+
+@query("window_plans", "window_turns", sql=f"WITH {plan_sql(150_000)} SELECT * FROM plans")
 def window_plans(turns: DataFrame) -> DataFrame:
-    return R.plan_windows(turns, 150_000)
+    return R.plan_windows(with_files(turns), 150_000)
 
 
 @query(
     "window_plan_outcomes",
-    "turns",
-    sql=None,
+    "window_turns",
+    sql=f"""WITH {plan_sql(60_000)} SELECT mode, reason, count(*) AS sessions, CASE reason {" ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in R.REASON_TEXTS.items())} END AS text FROM plans GROUP BY ALL""",
 )
 def window_plan_outcomes(turns: DataFrame) -> DataFrame:
-    plans = R.plan_windows(turns, 60_000)
+    plans = R.plan_windows(with_files(turns), 60_000)
     texts = F.create_map(*[F.lit(x) for pair in R.REASON_TEXTS.items() for x in pair])
     return plans.groupBy("mode", "reason").agg(F.count(F.lit(1)).alias("sessions")).withColumn("text", F.element_at(texts, F.col("reason")))
 
 
+@query(
+    "branch_anchors",
+    "branch",
+    sql="""WITH m AS (SELECT session_id, ord, role, tool_name, anchored, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS pos FROM {branch} WHERE type = 'message')
+    SELECT session_id, max(pos) AS anchor FROM m WHERE role = 'toolResult' AND tool_name = 'context' AND anchored GROUP BY 1""",
+)
+def branch_anchors(branch: DataFrame) -> DataFrame:
+    return R.anchors(branch)
+
+
 @query(
     "token_batches",
     "turns",

@@ -75,6 +75,20 @@ RELATIONS: dict[str, str] = {
             UNION ALL SELECT session_id, CAST(ord AS DOUBLE), 1, event_id, 'assistant', concat('calling ', event_type), concat('call-', CAST(event_id AS STRING)), false FROM {steps}
             UNION ALL SELECT session_id, ord + CASE WHEN k % 3 = 0 THEN 1.5 ELSE 0 END, 2, event_id, 'toolResult', concat('result ', CAST(k AS STRING)),
                 concat('call-', CAST(event_id AS STRING)), event_type = 'error' AND value > 80 FROM {steps}) t""",
+    # Turns with what boundaries look at: tool names, touched files and anchors.
+    "window_turns": """
+        SELECT t.session_id, t.idx, t.role, t.call_id, t.tokens, replace(c.name, 'functions.', '') AS tool_name,
+            CASE WHEN t.role = 'assistant' AND c.args LIKE '%ath":"src%' THEN regexp_extract(c.args, '"(src/[^"]*)"', 1) ELSE CAST(NULL AS STRING) END AS path,
+            (t.role = 'toolResult' AND t.text = 'result 7') AS anchor
+        FROM (SELECT session_id, idx, role, CASE WHEN role = 'toolResult' AND text = 'result 3' THEN 'gone' ELSE call_id END AS call_id, tokens, text,
+            call_id AS made FROM {turns}) t
+        LEFT JOIN (SELECT session_id, call_id, args, CASE name WHEN 'listDir' THEN 'mcp/list.dir' ELSE name END AS name FROM {calls}) c
+            ON c.session_id = t.session_id AND c.call_id = t.made""",
+    # A branch as stored: messages, with the marks of compactions between them.
+    "branch": """
+        SELECT session_id, idx * 2 AS ord, 'message' AS type, role, CASE WHEN anchor THEN 'context' ELSE tool_name END AS tool_name, anchor AS anchored
+        FROM {window_turns}
+        UNION ALL SELECT session_id, idx * 2 - 1, 'compaction', CAST(NULL AS STRING), CAST(NULL AS STRING), false FROM {window_turns} WHERE role = 'user'""",
     # Messages as logged: content is a JSON string or an array of blocks.
     "raw_messages": """
         SELECT session_id, idx, 'assistant' AS role, CASE WHEN idx % 18 = 4 THEN concat('[{{"type":"toolCall","id":"', call_id,
