@@ -22,7 +22,7 @@ from threadloom.llm.packing import best_fit_packing
 from threadloom.llm.quality_classifier import held_out, quality_scores
 from threadloom.llm.quality_rules import quality_rules
 from threadloom.llm.substring_dedup import substring_dedup
-from threadloom.llm.token_counts import token_counts
+from threadloom.llm.token_counts import PLAIN, PreTokens, token_counts
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -280,6 +280,33 @@ def test_token_counts_odd_characters(spark):
     assert got == {i: len(encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+def _counted(split, text):
+    pretokens, added = split.of(text)
+    return added + sum(split.pieces([t.encode() for t in pretokens]))
+
+
+def test_token_counts_fuzz():
+    """All pairs of plain characters, and random texts with any others and added tokens."""
+    split = PreTokens(WORD_BPE)
+    encode = split.tokenizer.encode_batch
+    for a in range(PLAIN):
+        texts = [chr(a) + chr(b) for b in range(PLAIN)]
+        assert [_counted(split, t) for t in texts] == [len(e.ids) for e in encode(texts, add_special_tokens=False)]
+    rng = np.random.default_rng(3)
+    some = [chr(c) for c in range(PLAIN)] + list(" \n'stredl") * 20 + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end"] * 4
+    some += [chr(c) for low, high in ((0x250, 0x3000), (0x300, 0x370), (0x3000, 0xD800), (0x10000, 0x20000)) for c in rng.integers(low, high, 150)]
+    texts = ["".join(some[i] for i in rng.integers(0, len(some), rng.integers(0, 60))) for _ in range(20_000)]
+    assert [_counted(split, t) for t in texts] == [len(e.ids) for e in encode(texts, add_special_tokens=False)]
+
+
+def test_token_counts_hot_words(spark):
+    """A word that very many documents of a block have is met by block, with the same sums."""
+    frame = spark.createDataFrame([(i, f"the hot word {i} the") for i in range(3000)], "doc_id long, text string").repartition(2)
+    encode = Tokenizer.from_file(WORD_BPE).encode
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(frame, WORD_BPE).collect()}
+    assert got == {i: len(encode(f"the hot word {i} the").ids) for i in range(3000)}
+
+
 # ---------------------------------------------------------------- 7
 
 

@@ -3,7 +3,9 @@
 Documents are cut into blocks. Each block becomes an inverted list: a pre-token, and for
 every document that has it its place in the block and how often. The lists meet by
 pre-token; there each distinct pre-token is split into pieces once, its piece count is
-joined to all lists of that pre-token, and only sums per document go on.
+joined to all lists of that pre-token, and only sums per document go on. A pre-token that
+very many documents of a block have is met by pre-token and block instead, so that no task
+gets a common word's lists of the whole corpus; there it is split once per task.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from .shared import documents, map_arrow, partitions
 
 #: Characters below this bound are in normal form C already and split alike in every
-#: Unicode version; texts with others go through the library's own normaliser.
+#: Unicode version; texts with others go through the library's own normaliser and splitter.
 PLAIN = 0x250
 BLOCK_BYTES = 32 << 20
-LISTS = "pretoken binary, block bigint, docs binary, counts binary"
+HOT = 1024  # a list of more documents than this goes its own way, by pre-token and block
+LISTS = "pretoken binary, block bigint, salt bigint, docs binary, counts binary"
 
 
 class PreTokens:
@@ -42,17 +44,17 @@ class PreTokens:
             spec = json.load(file)
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        if steps != ["NFC", "Replace", "Lowercase"] or len(splits) != 1 or spec["model"]["type"] != "BPE":
-            raise ValueError("a byte-level BPE with a normaliser of NFC, Replace, Lowercase and one Split pattern is expected")
+        odd = [t for t in spec["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]
+        if odd or steps != ["NFC", "Replace", "Lowercase"] or len(splits) != 1 or spec["model"]["type"] != "BPE":
+            raise ValueError("a byte-level BPE with a normaliser of NFC, Replace, Lowercase, one Split pattern and plain added tokens is expected")
         # Byte-level models spell a byte as itself if it prints, else as a letter from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
         self.byte_names = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-        pattern = splits[0]["pattern"]["Regex"]
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.byte_of = {name: b for b, name in enumerate(self.byte_names)}
+        self.special = re.compile("|".join(sorted((re.escape(t["content"]) for t in spec["added_tokens"]), key=len, reverse=True)) or r"(?!)")
         self.other = re.compile(f"[^\\x00-\\u{PLAIN - 1:04x}]")
-        self.any_text = regex.compile(pattern)
-        self.plain_text = re.compile(self._spelled(pattern))
+        self.plain_text = re.compile(self._spelled(splits[0]["pattern"]["Regex"]))
 
     @staticmethod
     def _spelled(pattern: str) -> str:
@@ -64,23 +66,30 @@ class PreTokens:
         space = "".join(f"\\x{c:02x}" for c in range(PLAIN) if c in (*range(9, 14), 0x20, 0x85, 0xA0))
         return pattern.replace("\\s", space)
 
-    def of(self, text: str) -> list[str] | None:
-        """Pre-tokens of a text; None if it holds an added token's string."""
-        if self.special.search(text):
-            return None
-        if self.other.search(text) is None:
-            return self.plain_text.findall(text.lower())
-        return self.any_text.findall(self.tokenizer.normalizer.normalize_str(text))
+    def of(self, text: str) -> tuple[list[str], int]:
+        """Pre-tokens of a text, and how many strings of added tokens stand between them.
+
+        The library takes added tokens out of the raw text first and normalises each part
+        between them by itself.
+        """
+        parts = self.special.split(text)
+        if len(parts) == 1:
+            return self._pretokens(text), 0
+        return [t for part in parts for t in self._pretokens(part)], len(parts) - 1
+
+    def _pretokens(self, text: str) -> list[str]:
+        # A plain letter can have a lower case that is not plain, so both are looked at.
+        low = text.lower()
+        if low.isascii() or (self.other.search(text) is None and self.other.search(low) is None):
+            return self.plain_text.findall(low)
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, t)).decode() for t, _ in split]
 
     def pieces(self, pretokens: list[bytes]) -> list[int]:
         """How many pieces the model makes of each pre-token, given as its bytes."""
         split, spelled = self.tokenizer.model.tokenize, self.byte_names.__getitem__
         return [len(split("".join(map(spelled, p)))) for p in pretokens]
 
-    def tokens(self, text: str) -> int:
-        """Tokens of a whole text, by the library alone."""
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
 
 def token_counts(
     docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text"
@@ -88,7 +97,8 @@ def token_counts(
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     The counts are those of the tokenizers library without begin, end or padding tokens; an
-    added token's string inside a text counts as the library takes it, one token.
+    added token's string inside a text counts as the library takes it, one token, and the
+    parts around it are counted as texts of their own.
 
     Defined cases: null and empty texts have no bytes and no tokens. Repeated rows and rows
     of null doc_id are counted each by itself. An empty table gives no rows. Other columns
@@ -103,9 +113,8 @@ def token_counts(
         block = _Block(first)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = split.of(text)
-                n = split.tokens(text) if found is None else 0
-                block.add(doc_id, len(text.encode()), n, found or [])
+                found, added = split.of(text)
+                block.add(doc_id, len(text.encode()), added, found)
                 if block.size >= BLOCK_BYTES:
                     yield from block.flush()
                     block = _Block(block.first + block.docs)
@@ -124,7 +133,7 @@ def token_counts(
             yield from _summed(batch, keys, counted)
 
     inverted = map_arrow(base, lists, LISTS)
-    met = inverted.repartition(partitions(docs), F.coalesce("pretoken", F.col("block").cast("string").cast("binary")))
+    met = inverted.repartition(partitions(docs), "pretoken", "salt")
     added = map_arrow(met.sortWithinPartitions("pretoken"), sums, "rid bigint, doc_id bigint, n_bytes bigint, n_tokens bigint")
     total = added.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")
@@ -157,7 +166,7 @@ class _Block:
         # The documents themselves: one list without a pre-token.
         ids = pa.array([h[0] for h in self.heads], pa.int64())
         heads = pa.record_batch([ids, *(pa.array([h[i] for h in self.heads], pa.int64()) for i in (1, 2))], names=["d", "b", "t"])
-        yield _lists([None], self.first, [_framed(heads)], [b""])
+        yield _lists([None], self.first, [self.first], [_framed(heads)], [b""])
         terms = np.concatenate(self.terms)
         times = np.concatenate(self.times)
         places = np.repeat(np.arange(self.docs), [len(t) for t in self.terms])
@@ -171,15 +180,16 @@ class _Block:
         large_run = np.maximum.reduceat(times, cuts[:-1]) > 255 if len(names) else []
         for a in range(0, len(names), 50_000):
             chunk = range(a, min(a + 50_000, len(names)))
-            docs, counts = [], []
+            docs, counts, salts = [], [], []
             for i in chunk:
                 s, e = cuts[i], cuts[i + 1]
+                salts.append(1 + self.first if e - s > HOT else 0)
                 step = steps[s:e].copy()
                 step[0] = 0
                 wide = step.max() > 255
                 docs.append(int(places[s]).to_bytes(4, "little") + (b"\1" + step.astype("<u4").tobytes() if wide else b"\0" + step.astype(np.uint8).tobytes()))
                 counts.append(b"\1" + many[s:e].tobytes() if large_run[i] else b"\0" + small[s:e].tobytes())
-            yield _lists([names[i].encode() for i in chunk], self.first, docs, counts)
+            yield _lists([names[i].encode() for i in chunk], self.first, salts, docs, counts)
 
 
 def _framed(batch: pa.RecordBatch) -> bytes:
@@ -189,15 +199,16 @@ def _framed(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _lists(pretokens: list, block: int, docs: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+def _lists(pretokens: list, block: int, salts: list[int], docs: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(pretokens, pa.binary()),
             pa.array([block] * len(pretokens), pa.int64()),
+            pa.array(salts, pa.int64()),
             pa.array(docs, pa.binary()),
             pa.array(counts, pa.binary()),
         ],
-        names=["pretoken", "block", "docs", "counts"],
+        names=["pretoken", "block", "salt", "docs", "counts"],
     )
 
 
