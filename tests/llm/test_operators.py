@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -452,6 +453,100 @@ def test_iban_of_unlisted_country():
     assert [s for s in spans if s[0] == "iban"] == [("iban", 4, 31)]
 
 
+def brute_cued(text):
+    """Secrets, keys and accounts by trying every position; ``free`` is where the next of a kind may begin."""
+    found = []
+    secret = re.compile(r"""["']?[ \t]{0,3}[:=][ \t]{0,3}["']?([A-Za-z0-9+/_.=~-]{8,})""")
+    account = re.compile(r"[ ]?(?:[Nn][Uu][Mm][Bb][Ee][Rr]|[Nn][OoRr]\.?|#)?[ ]?[:=#]?[ ]?([0-9](?:[ -]?[0-9]){5,23})(?![A-Za-z0-9])")
+    for kind, cues, rule in (("secret", pii.CREDENTIALS, secret), ("account", pii.ACCOUNTS, account)):
+        free = 0
+        for i in range(len(text)):
+            for cue in cues:
+                if i < free or text[i : i + len(cue)].lower() != cue or (i and text[i - 1].isalnum()):
+                    continue
+                m = rule.match(text, i + len(cue))
+                value = m[1].rstrip(".") if m else ""
+                if len(value) >= (8 if kind == "secret" else 6) and re.search("[0-9]", value):
+                    found.append((kind, m.start(1), m.start(1) + len(value)))
+                    free = found[-1][2]
+    free = 0
+    for i in range(len(text)):
+        for prefix, rest in pii.KEYS.items():
+            m = text.startswith(prefix, i) and re.match(re.escape(prefix) + rest + "(?![A-Za-z0-9])", text[i:])
+            if m and i >= free and not (i and text[i - 1].isalnum()):
+                found.append(("key", i, i + m.end()))
+                free = i + m.end()
+    free = 0
+    for m in re.finditer(r"[A-Za-z0-9.+-]+://[^\x00-\x20\"'<>()\[\]{}|\\^`]+", text):
+        found.append(("url", m.start(), m.start() + len(m[0].rstrip(".,;:!?"))))
+    return set(found)
+
+
+def test_added_kinds_on_random_text():
+    rng, finder = np.random.default_rng(8), pii.Finder()
+    parts = [*pii.CREDENTIALS, *pii.ACCOUNTS, *pii.KEYS, "Token", "ACCOUNT", " ", " ", ": ", "=", "'", '"', "no.", "Number", "#", "12345678", "a1b2c3d4e5", "x" * 36,
+             "AB12" * 4, "é", ".", "-", "://", "http", "a.b/c", "1", "0 1-2 3", "A" * 35]
+    seen = Counter()
+    for _ in range(30_000):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 9)))
+        got = {s for s in finder.spans(text) if s[0] in ("secret", "key", "account", "url")}
+        assert got == brute_cued(text), text
+        seen.update(s[0] for s in got)
+    assert min(seen[k] for k in ("secret", "key", "account", "url")) > 50
+
+
+def _iban(country, body):
+    digits = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+
+def test_ibans_against_every_substring():
+    rng, finder, seen = np.random.default_rng(9), pii.Finder(), 0
+    for _ in range(3000):
+        country, length = [("DE", 22), ("NO", 15), ("GB", 22), ("FR", 27), ("MT", 31)][rng.integers(5)]
+        body = "".join(rng.choice(list("0123456789AB"), length - 4))
+        iban = _iban(country, body)
+        shown = " ".join(iban[i : i + 4] for i in range(0, length, 4)) if rng.random() < 0.5 else iban
+        text = "".join(rng.choice(list("ab 1A "), rng.integers(0, 5))) + shown + "".join(rng.choice(list("aZ 1,"), rng.integers(0, 5)))
+        want = []
+        for i in range(len(text)):  # every start whose country's length fits, no blank twice
+            m = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])*").match(text, i)
+            if not m or (i and text[i - 1].isalnum()) or (want and i < want[-1][2]):
+                continue
+            n = {"DE": 22, "NO": 15, "GB": 22, "FR": 27, "MT": 31}.get(text[i : i + 2])
+            for end in range(i + 15, m.end() + 1):
+                bare = text[i:end].replace(" ", "")
+                if len(bare) == n and text[end - 1] != " " and not text[end : end + 1].isalnum():
+                    if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                        want.append(("iban", i, end))
+                    break
+        assert [s for s in finder.spans(text) if s[0] == "iban"] == want, text
+        seen += len(want)
+    assert seen > 1000
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "1 " * 500_000, "a@" * 500_000, "+1(" * 300_000, "token=" * 170_000, "://a" * 250_000, "a" * 1_000_000 + "@", "account " * 120_000, "AB12 " * 200_000])
+def test_personal_data_is_linear(text):
+    """A megabyte of the worst characters takes about a second: runs are looked at once."""
+    start = time.process_time()
+    pii.Finder().spans(text)
+    assert time.process_time() - start < 4
+
+
+def test_personal_data_recall(docs):
+    """Planted identifiers, found by separate patterns, lie within spans; documents without digits have none."""
+    planted = re.compile(r'token = "([0-9a-f]{32})"|\b([a-z]+\.\d+@mail\d+\.example\.com)\b|(\+1 \(\d{3}\) 555-\d{4})|(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?![\d.])')
+    rows = {r["doc_id"]: [(int(x.split(":")[1]), int(x.split(":")[2])) for x in r["spans"].split(",") if x] for r in pii.personal_data(docs, mask=False).collect()}
+    hits = misses = 0
+    for i, text in texts_of(docs):
+        for m in planted.finditer(text):
+            inside = any(a <= m.start(m.lastindex) and m.end(m.lastindex) <= b for a, b in rows[i])
+            hits, misses = hits + inside, misses + (not inside)
+        if not re.search("[0-9@]|://", text):
+            assert not rows[i]
+    assert hits > 10 and hits >= 0.9 * (hits + misses)
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -1,8 +1,10 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds the places where personal data can be: at-signs, schemes,
-plus signs and digits. From each anchor a deterministic local parser expands to the left
-and right, within the run of characters that its kind allows, and validates what it found.
+plus signs, digits, and cues that announce an identifier (names of accounts and credentials,
+prefixes of well-known keys). From each anchor a deterministic local parser expands to the
+left and right, within the run of characters that its kind allows, and validates what it
+found. Every parser's work is linear in the text: a run is looked at once per kind.
 """
 
 from __future__ import annotations
@@ -17,12 +19,28 @@ from pyspark.sql import DataFrame
 from .shared import documents, map_arrow
 
 #: Kinds in the order of ties; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "url")
+KINDS = ("email", "ip", "card", "phone", "iban", "url", "secret", "key", "account")
 BASE = 4
 
+#: Names of credentials; what is assigned to one is a secret if it is 8 characters or more with a digit.
+CREDENTIALS = (
+    "token", "password", "passwd", "pwd", "secret", "credential", "api_key", "api-key", "apikey", "access_key", "access-key",
+    "private_key", "private-key",
+)
+#: Words before account and document numbers.
+ACCOUNTS = ("account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
+#: Public prefixes of keys, and what follows them.
+KEYS = {
+    "AKIA": "[0-9A-Z]{16}", "AIza": "[0-9A-Za-z_-]{35}", "ghp_": "[A-Za-z0-9]{36}", "gho_": "[A-Za-z0-9]{36}", "ghs_": "[A-Za-z0-9]{36}",
+    "glpat-": "[0-9A-Za-z_-]{20}", "npm_": "[A-Za-z0-9]{36}", "sk_live_": "[0-9A-Za-z]{16,64}", "xoxb-": "[0-9A-Za-z-]{10,80}",
+}
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP_RUN, _IP = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD_RUN, _CARD = re.compile(r"[\x20\-0-9]+"), re.compile(r"[0-9]([\x20-]?[0-9])+")
+_IP_RUN = re.compile(r"[0-9.]+")
+_CARD_RUN, _CARD = re.compile(r"[\x20\-0-9]+"), re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
+_SECRET = re.compile(r"""["']?[\x20\t]{0,3}[:=][\x20\t]{0,3}["']?([A-Za-z0-9+/_.=~-]{8,})""")
+_ACCOUNT = re.compile(r"(?i:\x20?(?:number|no\.?|nr\.?|\x23))?\x20?[:=\x23]?\x20?([0-9](?:[\x20-]?[0-9]){5,23})(?![A-Za-z0-9])")
+_KEY_OF = {cue: re.compile(re.escape(cue) + rest + "(?![A-Za-z0-9])") for cue, rest in KEYS.items()}
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 #: Characters of an IBAN by its country.
@@ -40,6 +58,9 @@ _URL = re.compile(r"://[^\x00-\x20\"'<>()\[\]{}|\\^`]+")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME_CHARS = _NAME - frozenset("_%")
 
+_DIGIT = re.compile("[0-9]")
+_LOWER = {c: c + 32 for c in range(65, 91)}  # A-Z only, so that positions stay
+
 Span = tuple[str, int, int]
 
 
@@ -70,13 +91,17 @@ class Finder:
         self.anchors = ahocorasick.Automaton()
         for cue, kind in [("@", "@"), ("://", ":"), ("+", "+"), *((d, "0") for d in "0123456789")]:
             self.anchors.add_word(cue, (kind, len(cue)))
+        for cues, kind in ((CREDENTIALS, "secret"), (ACCOUNTS, "account"), (KEYS, "key")):
+            for cue in cues:
+                self.anchors.add_word(cue.translate(_LOWER), (kind, len(cue)))
         self.anchors.make_automaton()
 
     def spans(self, text: str) -> list[Span]:
         """All spans by start, then kind; positions in code points, ends exclusive."""
         found: list[Span] = []
         email_end = phone_end = url_end = ip_run = card_run = iban_end = 0
-        for last, (kind, width) in self.anchors.iter(text):
+        cued = {"secret": 0, "account": 0, "key": 0}
+        for last, (kind, width) in self.anchors.iter(text.translate(_LOWER)):
             at = last - width + 1
             if kind == "0":
                 if at >= ip_run:
@@ -85,7 +110,7 @@ class Finder:
                 if at >= card_run:
                     card_run = _CARD_RUN.match(text, at).end()
                     found += self._cards(text, at, card_run)
-                if at >= max(iban_end, 2) and (m := self._iban(text, at)):
+                if at >= max(iban_end, 2) and "A" <= text[at - 1] <= "Z" and (m := self._iban(text, at)):
                     found.append(m)
                     iban_end = m[2]
             elif kind == "@":
@@ -100,6 +125,10 @@ class Finder:
                     phone_end = m.end()
                     if 9 <= len(_digits(m[0])) <= 15:
                         found.append(("phone", at, phone_end))
+            elif kind in cued:
+                if at >= cued[kind] and not (at and text[at - 1].isalnum()) and (m := self._cued(kind, text, at, last + 1)):
+                    found.append(m)
+                    cued[kind] = m[2]
             elif at >= url_end and (m := _URL.match(text, at)):
                 start = at
                 while start > url_end and text[start - 1] in _SCHEME_CHARS:
@@ -111,14 +140,38 @@ class Finder:
 
     @staticmethod
     def _ips(text: str, start: int, end: int) -> list[Span]:
-        runs = _IP.finditer(text, start, end)
-        return [("ip", *m.span()) for m in runs if all(int(p[-400:]) <= 255 and len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+        """Four numbers between dots, from the left; a number belongs to one address at most."""
+        found, parts, at, i = [], text[start:end].split("."), start, 0
+        while i + 3 < len(parts):
+            four = parts[i : i + 4]
+            if all(four):
+                stop = at + sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in four):
+                    found.append(("ip", at, stop))
+                at, i = stop + 1, i + 4
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+        return found
 
     @staticmethod
     def _cards(text: str, start: int, end: int) -> list[Span]:
         runs = ((m, _digits(m[0])) for m in _CARD.finditer(text, start, end))
         return [("card", *m.span()) for m, d in runs if 12 <= len(d) <= 19 and luhn(d)]
 
+    @staticmethod
+    def _cued(kind: str, text: str, at: int, end: int) -> Span | None:
+        """The identifier that a cue at ``at`` to ``end`` announces."""
+        if kind == "key":
+            m = next((m for p in _KEY_OF.values() if (m := p.match(text, at))), None)
+            return (kind, at, m.end()) if m else None
+        m = (_SECRET if kind == "secret" else _ACCOUNT).match(text, end)
+        if m is None:
+            return None
+        value = m[1].rstrip(".")
+        if kind == "secret" and (len(value) < 8 or not _DIGIT.search(value)):
+            return None
+        return (kind, m.start(1), m.start(1) + len(value))
+
     @staticmethod
     def _iban(text: str, at: int) -> Span | None:
         if not ("A" <= text[at - 1] <= "Z" and "A" <= text[at - 2] <= "Z") or (at > 2 and text[at - 3].isalnum()):
@@ -147,11 +200,14 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, masked_text.
 
     Spans are ``kind:start:end`` by start, then kind. Base kinds are e-mail and IP addresses,
-    cards and phones; the method adds IBANs of a right check number and URLs.
+    cards and phones; the method adds IBANs of a right check number, URLs, values of
+    credentials (:data:`CREDENTIALS`), keys by their prefix (:data:`KEYS`) and numbers behind
+    words for accounts and documents (:data:`ACCOUNTS`). ``masked_text`` is null for texts
+    without spans, and left out if ``mask`` is false.
 
     Defined cases: null and empty texts have no spans, and the hash is of the empty string.
     Repeated rows are searched each by itself; a null doc_id passes through. An empty table
@@ -168,13 +224,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 base = [s for s in spans if s[0] in KINDS[:BASE]]
                 counts = [sum(s[0] == k for s in base) for k in KINDS[:BASE]]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                rows.append((*counts, digest, joined(spans), masked(text, spans) if spans else None))
-            kinds = [pa.int64()] * BASE + [pa.string()] * 3
-            names = [*(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans", "masked_text"]
+                rows.append((*counts, digest, joined(spans), masked(text, spans) if mask and spans else None))
+            names = [*(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans", *["masked_text"] * mask]
+            kinds = [pa.int64()] * BASE + [pa.string()] * (len(names) - BASE)
             arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names])
 
     base = documents(docs, id_col, text_col)
     counts = ", ".join(f"n_{k} bigint" for k in KINDS[:BASE])
     kind = base.schema["doc_id"].dataType.simpleString()
-    return map_arrow(base, run, f"doc_id {kind}, {counts}, base_sha256 string, spans string, masked_text string")
+    return map_arrow(base, run, f"doc_id {kind}, {counts}, base_sha256 string, spans string" + ", masked_text string" * mask)

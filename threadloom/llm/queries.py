@@ -77,7 +77,7 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(load(spark, sf_dir, "documents")).drop("masked_text")
+    return personal_data(load(spark, sf_dir, "documents"), mask=False)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
