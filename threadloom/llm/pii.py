@@ -38,7 +38,7 @@ KEYS = {
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP_RUN = re.compile(r"[0-9.]+")
 _CARD_RUN, _CARD = re.compile(r"[\x20\-0-9]+"), re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
-_SECRET = re.compile(r"""["']?[\x20\t]{0,3}[:=][\x20\t]{0,3}["']?([A-Za-z0-9+/_.=~-]{8,})""")
+_SECRET = re.compile(r"""["']?[\x20\t]{0,3}[:=][\x20\t]{0,3}["']?([A-Za-z0-9+/_.~-]{8,}={0,2})""")
 _ACCOUNT = re.compile(r"(?i:\x20?(?:number|no\.?|nr\.?|\x23))?\x20?[:=\x23]?\x20?([0-9](?:[\x20-]?[0-9]){5,23})(?![A-Za-z0-9])")
 _KEY_OF = {cue: re.compile(re.escape(cue) + rest + "(?![A-Za-z0-9])") for cue, rest in KEYS.items()}
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -59,6 +59,7 @@ _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 _SCHEME_CHARS = _NAME - frozenset("_%")
 
 _DIGIT = re.compile("[0-9]")
+_LETTERS = {65 + i: str(10 + i) for i in range(26)}  # the check number's values of A-Z
 _LOWER = {c: c + 32 for c in range(65, 91)}  # A-Z only, so that positions stay
 
 Span = tuple[str, int, int]
@@ -75,7 +76,7 @@ def luhn(digits: str) -> bool:
 
 def _mod97(iban: str) -> bool:
     moved = iban[4:] + iban[:4]
-    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    return int(moved.translate(_LETTERS)) % 97 == 1
 
 
 def _digits(text: str) -> str:
