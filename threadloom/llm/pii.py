@@ -179,11 +179,18 @@ class Finder:
             return None
         length = _IBAN_LENGTHS.get(text[at - 2 : at])
         m = (_IBAN_OF[length] if length else _IBAN).match(text, at - 2)
-        while m:  # without a known length, the longest end at the edge of a word where the check number holds
-            if _mod97(m[0].replace(" ", "")):
-                return ("iban", at - 2, m.end())
-            cut = -1 if length else text.rfind(" ", at - 2, m.end())
-            m = _IBAN.fullmatch(text, at - 2, cut) if cut > 0 else None
+        if m is None:
+            return None
+        if length:
+            return ("iban", at - 2, m.end()) if _mod97(m[0].replace(" ", "")) else None
+        # Without a known length: the longest end at the edge of a word where the check number holds.
+        groups = m[0].split(" ")
+        for n in range(len(groups), 0, -1):
+            bare = "".join(groups[:n])
+            if len(bare) < 15:
+                break
+            if _mod97(bare):
+                return ("iban", at - 2, at - 2 + len(bare) + n - 1)
         return None
 
 
