@@ -527,10 +527,13 @@ def test_ibans_against_every_substring():
 
 @pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "1 " * 500_000, "a@" * 500_000, "+1(" * 300_000, "token=" * 170_000, "://a" * 250_000, "a" * 1_000_000 + "@", "account " * 120_000, "AB12 " * 200_000])
 def test_personal_data_is_linear(text):
-    """A megabyte of the worst characters takes about a second: runs are looked at once."""
-    start = time.process_time()
-    pii.Finder().spans(text)
-    assert time.process_time() - start < 4
+    """Runs of the worst characters are looked at once: four times the text takes far less than sixteen times as long."""
+    took = []
+    for part in (text[: len(text) // 4], text):
+        start = time.process_time()
+        pii.Finder().spans(part)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
 
 
 def test_personal_data_recall(docs):
