@@ -164,8 +164,13 @@ def test_classifier(spark):
     assert len(got) == docs.count()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
-    seen = [(got[r["doc_id"]]["predicted"], r["quality"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
-    assert sum(p == q for p, q in seen) / len(seen) > 0.95
+    seen = [(got[r["doc_id"]], r["quality"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert sum(p["predicted"] == q for p, q in seen) / len(seen) > 0.95
+    # Calibration: by tenths of the score, how far the mean score is from the share of good documents.
+    tenths = defaultdict(list)
+    for p, q in seen:
+        tenths[min(9, int(10 * p["score"]))].append((p["score"], q))
+    assert sum(abs(sum(s for s, _ in b) - sum(q for _, q in b)) for b in tenths.values()) / len(seen) < 0.05
 
 
 def test_classifier_without_labels(spark, odd):
@@ -184,10 +189,67 @@ def test_held_out(spark):
 def test_whole_text_and_whole_words_count():
     """What comes after 100,000 words or 1000 bytes of one word counts as much as what comes before."""
     short, long = [b"ab"] * 100_000, [b"w" * 30] * 100_000
-    marks = quality_classifier._marks(b"", short + long)
-    assert quality_classifier._term(b"mwidth:16") in marks and quality_classifier._term(b"mwidth:2") not in marks
+    assert quality_classifier._measures(b"", short + long)[-1] == pytest.approx(np.log2(17))
     terms = quality_classifier._Terms()
-    assert terms[b"w" * 2000] != terms[b"w" * 1999 + b"9"]
+    assert terms[b"w" * 2000] >> 16 != terms[b"w" * 1999 + b"v"] >> 16
+    assert terms[b"quality"] >> 16 != terms[b"garbage"] >> 16
+
+
+def test_context_sums_by_hand(spark, monkeypatch):
+    """Neighbours added up one by one, in texts shorter and longer than a stretch."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "b", "c", "Dd", "e1"], n)) for n in (0, 1, 2, 3, 5, 40, 7, 8, 9, 100, 16, 1)]
+    index, want = quality_classifier.index_vectors().astype(int), defaultdict(int)
+    assert (np.abs(index).sum(axis=1)[:-1] == quality_classifier.NONZERO).all()
+    for text in texts:
+        t = [zlib.crc32(w.encode()) % quality_classifier.GAP for w in text.split()]
+        for i, term in enumerate(t):
+            want[term] = want[term] + sum((index[t[j]] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(t)), np.zeros(64, int))
+    found = quality_classifier.context_sums(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert {i for i in np.flatnonzero(found.any(axis=1))} == {i for i, v in want.items() if np.any(v)}
+    assert all((found[i] == v).all() for i, v in want.items())
+    monkeypatch.setattr(quality_classifier, "STRETCH", 8)
+    terms, sums = quality_classifier._Terms(), quality_classifier.ContextSums()
+    for text in texts:
+        sums.add(terms.of(text.encode().split()) >> 16)
+    sums.settle()
+    assert all((sums.sums[i] == v).all() for i, v in want.items())
+
+
+def test_scores_by_hand():
+    """Pooling, network and temperature, number by number."""
+    Q = quality_classifier
+    rng, index = np.random.default_rng(4), Q.index_vectors()
+    texts = [b" ".join(rng.choice([b"good", b"fine", b"ok", b"junk###", b"bad!!"], 30, p=p)) for p in ([0.4, 0.3, 0.2, 0.05, 0.05], [0.1, 0.1, 0.2, 0.3, 0.3]) for _ in range(60)]
+    terms, sums = Q._Terms(), Q.ContextSums()
+    for t in texts:
+        sums.add(terms.of(t.split()) >> 16)
+    sums.settle()
+    vectors = Q.word_vectors(sums.sums.astype(float))
+    x = np.array([Q.pooled(t, terms, vectors, index) for t in texts], float)
+    shapes = {b"good": b"x", b"fine": b"x", b"ok": b"x", b"junk###": b"x#", b"bad!!": b"x!"}
+    for t, got in zip(texts, x, strict=True):
+        mean = np.zeros(192)
+        for w in t.split():
+            i, j = zlib.crc32(w) % Q.GAP, zlib.crc32(shapes[w], 1) % Q.GAP
+            mean += np.concatenate([sums.sums[i] / np.linalg.norm(sums.sums[i]), index[i], index[j]]) / 30
+        assert np.allclose(got[:192], mean, atol=1e-5)
+        assert np.allclose(got[192:], [1 - len(set(t.split())) / 30, 1 - len(set(zip(t.split(), t.split()[1:], strict=False))) / 29, 0, np.log2(31), np.log2(31), np.log2(1 + sum(map(len, t.split())) / 30)])
+    y, aside = np.repeat([1, 0], 60), np.arange(120) % 5 == 0
+    model = Q.fitted(vectors, x, y, aside)
+    logits = [sum(np.tanh(sum((v - m) / s * w for v, m, s, w in zip(row, model.mean, model.scale, column, strict=True)) + b) * o for column, b, o in zip(model.w1.T, model.b1, model.w2, strict=True)) + model.b2 for row in x[:6]]
+    assert np.allclose(model.scores(x[:6]), [1 / (1 + np.exp(-z / model.temperature)) for z in logits])
+    plain, truth = model.logits(x[aside]), y[aside]
+    loss = lambda t: -np.mean(np.where(truth, -np.logaddexp(0, -plain / t), -np.logaddexp(0, plain / t)))
+    assert all(loss(model.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.25, 16, 97))
+
+
+def test_repeated_doc_ids_train_alike(spark):
+    """Several texts and labels of one doc_id: the same model in any order of rows."""
+    rows = [(i % 20, f"word{i % 7} " * (5 + i % 3) + ("###" if i % 2 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 2, "doc_id long, quality int")
+    got = [sorted(quality_scores(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels).collect()) for r, n in ((rows, 2), (rows[::-1], 3))]
+    assert got[0] == got[1]
 
 
 # ---------------------------------------------------------------- 4

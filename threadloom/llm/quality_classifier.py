@@ -1,13 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small network.
 
-A word's term is itself if it is short and plain, else its shape (case, digits and
-punctuation, runs collapsed), hashed into a fixed number of terms: unseen words have terms
-too. Every term has a sparse random index vector. Over the whole corpus the index vectors
-of each term's neighbours are added up; that sum, scaled to unit length, next to the term's
-own index vector is the word vector. A document's vector is the mean over its words, plus
-those of a few marks of the document itself (its length, how often it repeats words, pairs
-and lines). A two-layer network in numpy is fitted on a bounded sample of labelled
-documents, and its logits are divided by a temperature found on rows it was not fitted on.
+Every word is a term of its own, hashed into :data:`TERMS` places (so that vectors have a
+bounded size at any vocabulary; two words share a place by chance only). A term has a sparse
+random index vector. Over the whole corpus the index vectors of each term's neighbours are
+added up; that sum, scaled to unit length, next to the term's own index vector is the word
+vector. A document's vector is the mean over its words, then the mean of the index vectors of
+its words' shapes (case, digits and punctuation, runs collapsed; they say something of words
+that were never seen), then a few measures of the document itself (how often it repeats
+words, pairs and lines, and lengths). A two-layer network in numpy is fitted on a bounded
+sample of labelled documents, and its logits are divided by a temperature found on rows it
+was not fitted on.
 """
 
 from __future__ import annotations
@@ -22,117 +24,177 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, map_arrow
+from .shared import documents, map_arrow, partitions
 
-TERMS = 2048
-DIMENSIONS = 64  # of an index vector; word vectors have twice as many
+TERMS = 1 << 16  # places for words; the last serves as the gap between texts and belongs to no word
+DIMENSIONS = 64  # of an index vector
 NONZERO = 8
 REACH = 2  # words to either side that count as neighbours
+MEASURES = 6
+WIDTH = 3 * DIMENSIONS + MEASURES  # of a document's vector
 LABELLED = 20_000  # the most labelled documents that the network is fitted on
 HIDDEN = 32
 SEED = 11
 KNOWN = 1 << 17  # distinct words remembered by a task
+STRETCH = 1 << 15  # words whose neighbours are added up at a time
+GAP = TERMS - 1
 
 _SHAPE = bytes(
     ord("X") if 65 <= b <= 90 else ord("x") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else b
     for b in range(256)
 )
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-_PLAIN = re.compile(rb"[a-z]{1,3}")
-
-
-def _term(name: bytes) -> int:
-    return zlib.crc32(name) % TERMS
 
 
 class _Terms(dict):
-    """Words to terms, remembered."""
+    """Words to (term, shape's term) in one number, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        name = b"w" + word if _PLAIN.fullmatch(word) else b"s" + _RUN.sub(rb"\1", word.translate(_SHAPE))
         if len(self) >= KNOWN:
             self.clear()
-        self[word] = found = _term(name)
+        shape = _RUN.sub(rb"\1", word.translate(_SHAPE))
+        self[word] = found = zlib.crc32(word) % GAP << 16 | zlib.crc32(shape, 1) % GAP
         return found
 
-    def of(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)), words
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _marks(text: bytes, words: list[bytes]) -> list[int]:
-    """Terms for what is true of the document as a whole."""
-    n = max(1, len(words))
-    pairs = len(set(zip(words, words[1:], strict=False)))
+def _measures(text: bytes, words: list[bytes]) -> list[float]:
+    """What is true of the document as a whole."""
+    n = len(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    shares = {
-        b"words": 1 - len(set(words)) / n,
-        b"pairs": 1 - pairs / max(1, len(words) - 1) if len(words) > 1 else 0.0,
-        b"lines": 1 - len(set(lines)) / max(1, len(lines)),
-    }
-    marks = [b"m%s:%d" % (k, int(10 * v + 0.5)) for k, v in shares.items()]
-    marks += [b"mlength:%d" % len(words).bit_length(), b"mlineful:%d" % (len(words) // max(1, len(lines))).bit_length()]
-    marks.append(b"mwidth:%d" % min(20, round(sum(map(len, words)) / n)))
-    return [_term(m) for m in marks]
+    return [
+        1 - len(set(words)) / max(1, n),
+        1 - len(set(zip(words, words[1:], strict=False))) / max(1, n - 1) if n > 1 else 0.0,
+        1 - len(set(lines)) / max(1, len(lines)),
+        float(np.log2(1 + n)),
+        float(np.log2(1 + n / max(1, len(lines)))),
+        float(np.log2(1 + sum(map(len, words)) / max(1, n))),
+    ]
 
 
 def index_vectors() -> np.ndarray:
-    """A fixed sparse vector of +1 and -1 for each term."""
+    """A fixed sparse vector of +1 and -1 for each term; none for the gap.
+
+    Places are steps of an odd number modulo a power of two, so no two are the same.
+    """
     rng = np.random.default_rng(SEED)
-    found = np.zeros((TERMS, DIMENSIONS), np.int64)
-    for row in found:
-        row[rng.choice(DIMENSIONS, NONZERO, replace=False)] = rng.choice((-1, 1), NONZERO)
+    first, step = rng.integers(0, DIMENSIONS, TERMS), 2 * rng.integers(0, DIMENSIONS // 2, TERMS) + 1
+    found = np.zeros((TERMS, DIMENSIONS), np.int8)
+    for k in range(NONZERO):
+        found[np.arange(TERMS), (first + k * step) % DIMENSIONS] = rng.choice((-1, 1), TERMS)
+    found[GAP] = 0
     return found
 
 
+class ContextSums:
+    """Sums of neighbours' index vectors per term, of one text after another."""
+
+    def __init__(self) -> None:
+        self.index, self.sums = index_vectors(), np.zeros((TERMS, DIMENSIONS), np.int64)
+        self.waiting, self.n = [np.full(REACH, GAP)], REACH
+
+    def add(self, terms: np.ndarray) -> None:
+        gap = np.full(REACH, GAP)
+        for a in range(0, max(1, len(terms)), STRETCH):  # a stretch brings its neighbours along
+            part = terms[a : a + STRETCH]
+            if len(terms) > STRETCH:
+                self.settle()
+                near = np.concatenate([gap, terms[max(0, a - REACH) : a], part, terms[a + STRETCH : a + STRETCH + REACH], gap])
+                self._sum(near, REACH + min(a, REACH), len(part))
+            else:
+                self.waiting += [part, gap]
+                self.n += len(part) + REACH
+        if self.n >= STRETCH:
+            self.settle()
+
+    def settle(self) -> None:
+        terms = np.concatenate(self.waiting)
+        self.waiting, self.n = [np.full(REACH, GAP)], REACH
+        self._sum(terms, REACH, len(terms) - 2 * REACH)
+
+    def _sum(self, terms: np.ndarray, first: int, n: int) -> None:
+        """Adds up the neighbours of n terms from the first on."""
+        if n <= 0:
+            return
+        vectors = self.index[terms]
+        context = np.zeros((n, DIMENSIONS), np.int8)
+        for step in range(1, REACH + 1):
+            context += vectors[first - step : first - step + n]
+            context += vectors[first + step : first + step + n]
+        own = terms[first : first + n].astype(np.uint16)
+        order = np.argsort(own, kind="stable")
+        sorted_terms = own[order]
+        starts = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
+        self.sums[sorted_terms[starts]] += np.add.reduceat(context[order], starts, axis=0, dtype=np.int32)
+        self.sums[GAP] = 0
+
+    def rows(self) -> pa.RecordBatch:
+        """The terms that have neighbours, each with its sums as bytes."""
+        some = np.flatnonzero(self.sums.any(axis=1))
+        return _vectors(some, self.sums[some])
+
+
+def _vectors(terms: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(terms, pa.int32()), pa.array([v.tobytes() for v in sums.astype("<i8")], pa.binary())], names=["term", "sums"])
+
+
 def context_sums(texts: DataFrame) -> np.ndarray:
     """Sums of neighbours' index vectors per term, over all of ``texts`` (column text).
 
-    What comes to the driver is one number per term and dimension, whatever the corpus.
+    A task gives one row per term, so tasks are few: two per core. They are added up by term
+    on the executors; what comes to the driver is one row per term, whatever the corpus.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, pairs = _Terms(), np.zeros(TERMS * TERMS, np.int64)
+        terms, found = _Terms(), ContextSums()
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
-                t, _ = terms.of(text.as_py())
-                for step in range(1, REACH + 1):
-                    if len(t) > step:
-                        np.add.at(pairs, t[:-step] * TERMS + t[step:], 1)
-        counts, index = pairs.reshape(TERMS, TERMS), index_vectors()
-        some = np.flatnonzero(counts.any(axis=0) | counts.any(axis=1))  # the terms that occur
-        counts = counts[np.ix_(some, some)]
-        sums = np.zeros((TERMS, DIMENSIONS), np.int64)
-        sums[some] = counts @ index[some] + counts.T @ index[some]
-        sums = sums.ravel()
-        cells = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(cells), pa.array(sums[cells])], names=["cell", "total"])
-
-    cells = map_arrow(texts.select("text"), run, "cell bigint, total bigint")
-    found = np.zeros(TERMS * DIMENSIONS)
-    for cell, total in cells.groupBy("cell").agg(F.sum("total")).collect():
-        found[cell] = total
-    return found.reshape(TERMS, DIMENSIONS)
+                found.add(terms.of(text.as_py().split()) >> 16)
+        found.settle()
+        yield found.rows()
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for term, sums in zip(batch.column("term").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                found[term] = found.get(term, 0) + np.frombuffer(sums, "<i8")
+        if found:
+            yield _vectors(np.array(list(found)), np.stack(list(found.values())))
+
+    few = texts.select("text").coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    parts = map_arrow(few, run, "term int, sums binary").repartition(partitions(texts), "term")
+    found = np.zeros((TERMS, DIMENSIONS))
+    for term, sums in map_arrow(parts, total, "term int, sums binary").collect():
+        found[term] = np.frombuffer(sums, "<i8")
+    return found
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """The context half of the word vectors; the other half are the index vectors."""
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    return np.hstack([sums / np.where(norm == 0, 1, norm), index_vectors() / NONZERO**0.5]).astype(np.float32)
-
-
-def pooled(text: bytes, terms: _Terms, vectors: np.ndarray) -> np.ndarray:
-    t, words = terms.of(text)
-    marks = vectors[_marks(text, words)].sum(axis=0)
-    if not len(t):
-        return marks
-    counts = np.bincount(t, minlength=TERMS)
-    some = np.flatnonzero(counts)
-    return counts[some].astype(np.float32) @ vectors[some] / len(t) + marks
+    return (sums / np.where(norm == 0, 1, norm)).astype(np.float32)
+
+
+def pooled(text: bytes, terms: _Terms, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """A document's vector."""
+    words = text.split()
+    found = np.zeros(WIDTH, np.float32)
+    if words:
+        both = terms.of(words)
+        for part, shift, tables in ((0, 16, (vectors, index)), (2, 0, (index,))):
+            some, counts = np.unique(both >> shift & 0xFFFF, return_counts=True)
+            share = counts.astype(np.float32) / len(words)
+            for i, table in enumerate(tables, part):
+                found[i * DIMENSIONS : (i + 1) * DIMENSIONS] = share @ table[some]
+    found[3 * DIMENSIONS :] = _measures(text, words)
+    return found
 
 
 @dataclass(frozen=True)
 class Model:
-    """Word vectors and the network over them."""
+    """Context halves of the word vectors, and the network over documents' vectors."""
 
     vectors: np.ndarray
     mean: np.ndarray
@@ -154,7 +216,7 @@ def fitted(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, aside: np.ndarray,
     """Network by Adam on the rows not set ``aside``; temperature by least log loss on those."""
     rng = np.random.default_rng(SEED)
     fit = ~aside
-    d = vectors.shape[1]
+    d = x.shape[1]
     if not fit.any() or len(set(y[fit])) < 2:  # nothing to tell apart: the share of ones
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         zero = np.zeros
@@ -196,7 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     """Word vectors from all of ``docs`` and a network from at most ``most`` labelled ones.
 
     Labels of held-out documents, null labels and null doc_ids are left out; of several
-    labels of one doc_id the larger counts, of several texts of one any single one.
+    labels of one doc_id the larger counts, of several texts of one doc_id the one whose
+    vector comes first in byte order.
     """
     base = documents(docs)
     vectors = word_vectors(context_sums(base))
@@ -206,16 +269,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)  # so it can be broadcast
 
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms()
+        terms, vectors, index = _Terms(), sent.value, index_vectors()
         for batch in batches:
-            x = [pooled(t.as_py(), terms, vectors).astype("<f4").tobytes() for t in batch.column("text").cast(pa.binary())]
+            x = [pooled(t.as_py(), terms, vectors, index).astype("<f4").tobytes() for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
 
     labelled = base.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    rows = map_arrow(labelled, run, "doc_id bigint, label int, x binary").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64).reshape(len(rows), vectors.shape[1])
+    found = map_arrow(labelled, run, "doc_id bigint, label int, x binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x"))
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
+    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64).reshape(len(rows), WIDTH)
     y = np.array([int(r["label"] > 0) for r in rows], int)
     aside = np.array([zlib.crc32(b"aside%d" % r["doc_id"]) % 5 == 0 for r in rows], bool)
     return fitted(vectors, x, y, aside)
@@ -231,12 +296,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent = spark.sparkContext.broadcast(tuple(getattr(model, k) for k in Model.__dataclass_fields__))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, model = _Terms(), Model(*sent.value)
+        terms, model, index = _Terms(), Model(*sent.value), index_vectors()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.binary())
             if not batch.num_rows:
                 continue
-            s = model.scores(np.array([pooled(t.as_py() or b"", terms, model.vectors) for t in texts], np.float64))
+            s = model.scores(np.array([pooled(t.as_py() or b"", terms, model.vectors, index) for t in texts], np.float64))
             columns = [*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "predicted"])
 
