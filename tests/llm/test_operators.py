@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threadloom.llm import packing, pii, quality_classifier, queries, simhash, warc
+from threadloom.llm import packing, pii, quality_classifier, queries, shared, simhash, warc
 from threadloom.llm.components import component_labels
 from threadloom.llm.exact_dedup import block_naming_dedup
 from threadloom.llm.mixing import fit, mix_sources, targets
@@ -84,7 +84,10 @@ def test_exact_dedup(odd, block):
         sha = hashlib.sha256(norm.encode()).hexdigest()
         want[(best[0], best[0], len(rows), True, sha)] += 1
         want.update((r[0], best[0], len(rows), False, sha) for r in rest)
-    assert Counter(map(tuple, block_naming_dedup(odd, block=block).collect())) == want
+    found = block_naming_dedup(odd, block=block).collect()
+    assert Counter(tuple(r)[:-1] for r in found) == want
+    # One identity for each document: as many as there are different texts.
+    assert len({r["identity"] for r in found}) == len({(r["identity"], r["text_sha256"]) for r in found}) == len(groups)
 
 
 def test_naming_is_by_content_not_place(spark):
@@ -432,7 +435,8 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     warc.copy_warc(spark, one, three, hurt)
     records, bad = warc.fixity(spark, one, three)
     place = {(r["archive"], r["seq"]) for r in records.where("record_id = '<urn:page:17>'").collect()}
-    assert {tuple(r) for r in bad.collect()} == place and len(place) == 1
+    assert {(r["archive"], r["seq"]) for r in bad.where("here").collect()} == place and len(place) == 1
+    assert {(r["archive"], r["seq"]) for r in bad.where("not here").collect()} == place
 
 
 def test_warc_missing_record(spark, tmp_path):
@@ -442,6 +446,37 @@ def test_warc_missing_record(spark, tmp_path):
     assert [r["seq"] for r in warc.fixity(spark, str(tmp_path / "a"), str(tmp_path / "b"))[1].collect()] == [29]
 
 
+def test_warc_record_lost_in_the_middle(spark, tmp_path):
+    """What follows a lost or an added record has moved, but is not damaged."""
+    pages = spark.createDataFrame([(i, "u", "x" * (i % 7)) for i in range(60)], "page_id long, url string, html string")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    warc.write_warc(warc.archived(pages), a)
+    warc.write_warc(warc.archived(pages.where("page_id NOT IN (4, 31)")), b)
+    assert sorted((r["seq"], r["here"]) for r in warc.fixity(spark, a, b)[1].collect()) == [(4, True), (31, True)]
+    assert sorted((r["seq"], r["here"]) for r in warc.fixity(spark, b, a)[1].collect()) == [(4, False), (31, False)]
+
+
+def test_warc_pages_without_ids(spark):
+    pages = spark.createDataFrame([(None, f"u{i}", "x") for i in range(100)] + [(1, "u", "x")], "page_id long, url string, html string")
+    sizes = Counter(r["archive"] for r in warc.archived(pages, 10).collect())
+    assert sizes.pop("part-000000000000") == 1
+    assert len(sizes) > 5 and sum(sizes.values()) == 100
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session())
+
+
 def test_warc_damaged_bytes():
     data = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + b"junk" + b"\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\nz\r\n\r\n"
     parts = list(warc.parse(data))

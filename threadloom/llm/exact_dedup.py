@@ -6,9 +6,9 @@ are sorted and named in turn, and so on until one name is left per document. Two
 documents of the same number of blocks have the same last name exactly when their
 texts are equal: names stand for contents, never for hashes, so there are no collisions.
 
-Only blocks (and pairs) that occur more than once need a name: a document with a block
-that occurs nowhere else equals no other document and leaves the recursion there. So the
-whole text is shuffled twice, once to find the repeated blocks and once to join their
+Only blocks (and pairs) that occur more than once need a shared name: a document with a block
+that occurs nowhere else equals no other document, so it leaves the recursion there with an
+identity from its own row number, which is as collision-free. So the whole text is shuffled twice, once to find the repeated blocks and once to join their
 names back; all later levels move integers, and only of documents that may be copies.
 A block that a large part of the corpus shares is counted with map-side partial sums, and
 its name is joined by a join of two plain tables, which AQE can split.
@@ -44,7 +44,12 @@ def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
 def block_naming_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, identity.
+
+    Every document has one ``identity``: equal texts share it, different ones never do. Where
+    all blocks are repeated it is the last name (of that number of blocks, so the number is
+    part of it); a document with a block, or pair of names, of its own is named there and then
+    by its row, since nothing can equal it.
 
     Texts are equal when identical after deleting all of ``[\\x20\\x09-\\x0D]``. The row of
     most code points in the original text stays, then that of the smallest doc_id.
@@ -93,6 +98,7 @@ def block_naming_dedup(
         "group_size",
         (F.col("rid") == F.col("keep")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.when(F.col("name").isNull(), F.concat(F.lit("r"), "rid")).otherwise(F.concat(F.lit("n"), "width0", F.lit("."), "name")).alias("identity"),
     ]
     return grouped.select(*columns).unionByName(alone.select(*columns))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,7 +14,7 @@ from .packing import best_fit_packing
 from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import STOP, THRESHOLDS, Threshold, quality_rules
-from .shared import load, shared_dir
+from .shared import load, shared_path
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -23,7 +22,7 @@ from .warc import ARCHIVE_ROWS, archived, copy_warc, fixity, write_warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_naming_dedup(load(spark, sf_dir, "documents"))
+    return block_naming_dedup(load(spark, sf_dir, "documents")).drop("identity")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +55,14 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     The damage is planted by rule (the replica's page says ``<!DOCTYPE`` in lower case, which
     leaves the length as it is), so that the answer is known.
     """
-    at = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}"
+    first, second = shared_path(spark, "warc-a"), shared_path(spark, "warc-b")
     pages = load(spark, sf_dir, "pages")
-    write_warc(archived(pages), f"{at}/warc-a", archives=pages.count() // ARCHIVE_ROWS + 1)
+    write_warc(archived(pages), first, archives=pages.count() // ARCHIVE_ROWS + 1)
     page = F.regexp_extract("record", r"<urn:page:(-?\d+)>", 1).cast("long")
     damaged = F.when(page % 53 == 7, F.regexp_replace("record", "<!DOCTYPE", "<!doctype"))
-    copy_warc(spark, f"{at}/warc-a", f"{at}/warc-b", F.coalesce(damaged, F.col("record")))
-    found, bad = fixity(spark, f"{at}/warc-a", f"{at}/warc-b")
-    bad = bad.withColumn("damaged", F.lit(True))
+    copy_warc(spark, first, second, F.coalesce(damaged, F.col("record")))
+    found, bad = fixity(spark, first, second)
+    bad = bad.where("here").select("archive", "seq", F.lit(True).alias("damaged"))
     return found.join(bad, ["archive", "seq"], "left").select(
         F.regexp_extract("record_id", r"page:(-?\d+)", 1).cast("long").alias("page_id"),
         "archive",

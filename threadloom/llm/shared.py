@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,12 +26,16 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests in
-    local mode) is a temporary folder of this process used, removed at exit.
+    It is the cluster's ``spark.checkpoint.dir``. Where that is unset, a local master (tests)
+    uses a temporary folder of this process, removed at exit; on a cluster, where executors
+    could not read such a folder, it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|\Z)", master):
+        raise ValueError(f"spark.checkpoint.dir is not set, and executors of {master} share no local folder")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="threadloom-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], True)
@@ -45,14 +50,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The files are removed when the session's file system closes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}/{name}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session's file system closes."""
+    path = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Just the columns an operator reads, under fixed names; null text counts as empty.
 

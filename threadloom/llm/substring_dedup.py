@@ -37,6 +37,7 @@ WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK = 1 << 21  # entries that a task settles at a time
+MOST_BUCKETS = 1 << 20  # at 100 TB of text a bucket then has some 20 million entries
 NO_ID = int(np.iinfo(np.int64).max)  # stands for a null doc_id: larger than any other
 _MULTIPLIERS = np.random.default_rng(1).integers(0, 1 << 63, (2, WINDOW), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -341,11 +342,12 @@ def _unzipped(z: bytes) -> bytes:
 def _sizes(docs: DataFrame) -> tuple[int, int, int]:
     """Buckets of about a million entries, and bytes of anchors' and windows' hashes.
 
-    By the plan's size estimate of the input: a word takes some four bytes there.
+    From the bytes of all texts, counted: a word and the blank after it take two at least, so
+    there are never more words than the hashes are made for, whatever the table's files say.
     """
-    size = min(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 56)
-    words = max(size // 4, 1)
-    buckets = min(1 << 16, max(256, 1 << (words * len(COVER) // PERIOD >> 20).bit_length()))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    words = max(total // 2, 1)
+    buckets = min(MOST_BUCKETS, max(256, 1 << (words * len(COVER) // PERIOD >> 21).bit_length()))
     bits = words.bit_length()
     return buckets, min(7, -(-(bits + 14 - 8) // 8)), min(15, -(-(2 * bits + 20 + 10 - 8) // 8))
 
@@ -361,12 +363,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null doc_id counts as larger than any other. An empty table gives no rows. Other
     columns are ignored.
     """
-    buckets, short, long = _sizes(docs)
     parts = _keys(docs)
-    by_anchor, by_window = _Packing(buckets, short, parts, later=False), _Packing(buckets, long, parts, later=True)
     base = documents(docs, id_col, text_col).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.col("text").cast("binary").alias("text")
     )
+    buckets, short, long = _sizes(base)
+    by_anchor, by_window = _Packing(buckets, short, parts, later=False), _Packing(buckets, long, parts, later=True)
     shared = _met(base, by_anchor, _anchor_entries)
 
     def zipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

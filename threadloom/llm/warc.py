@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import map_arrow, partitions, staged
@@ -46,10 +46,17 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def archived(pages: DataFrame, per_archive: int = ARCHIVE_ROWS) -> DataFrame:
-    """(archive, page_id, record): pages dealt to archives by page_id, each of bounded size."""
+    """(archive, page_id, record): pages dealt to archives by page_id, each of bounded size.
+
+    Page ids are numbers without large holes. Pages without one are dealt by their contents to
+    archives of their own, as many as their number asks for.
+    """
     base = pages.select(F.col("page_id"), F.col("url"), F.col("html"))
+    lone = 1 + base.where("page_id IS NULL").count() // per_archive
+    known = F.concat(F.lit("part-"), F.lpad(F.expr(f"page_id div {per_archive}").cast("string"), 12, "0"))
+    unknown = F.concat(F.lit("none-"), F.pmod(F.xxhash64("url", "html"), F.lit(lone)).cast("string"))
     return base.select(
-        F.concat(F.lit("part-"), F.lpad(F.expr(f"coalesce(page_id, -1) div {per_archive}").cast("string"), 12, "0")).alias("archive"),
+        F.coalesce(known, unknown).alias("archive"),
         "page_id",
         record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"),
     )
@@ -203,7 +210,23 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
 def fixity(
     spark: SparkSession, first: str, second: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Records of the first replica, and the places where the second differs from it."""
+    """Records of the first replica, and the places where the second differs from it.
+
+    A place is (archive, seq, here): that record of the first replica has no equal in the
+    second's archive, or (``here`` is false) that of the second none in the first's. A record
+    lost or added in the middle moves all behind it, so the trees differ from there on; records
+    whose bytes the other replica has too, as often, are no damage.
+    """
     records = staged(read_warc(spark, first).drop("record"), "records")
     other = staged(leaves(read_warc(spark, second)), "other-leaves")
-    return records, audit(tree(leaves(records)), tree(other))
+    suspects = audit(tree(leaves(records)), tree(other))
+    sides = [
+        x.join(suspects.withColumnRenamed("seq", "node"), ["archive", "node"]).select("archive", F.col("node").alias("seq"), "hash")
+        for x in (leaves(records), other)
+    ]
+    nth = F.row_number().over(Window.partitionBy("archive", "hash").orderBy("seq")).alias("nth")
+    a, b = (x.select("*", nth) for x in sides)
+    key = ["archive", "hash", "nth"]
+    lost = a.join(b.select(*key), key, "left_anti").select("archive", "seq", F.lit(True).alias("here"))
+    found = b.join(a.select(*key), key, "left_anti").select("archive", "seq", F.lit(False).alias("here"))
+    return records, staged(lost.unionByName(found), "damage")
