@@ -13,6 +13,7 @@ PYTHON = {
     "file_states", "error_loops", "shell_operations", "summary_sections", "verification_gaps", "verification_scores", "verification_messages",
     "repaired_summaries", "semantic_gaps", "semantic_stems", "critical_context",
     "session_topics", "session_chunks", "canonical_arguments", "scrubbed_arguments", "repaired_reports", "dry_run_completions",
+    "bounded_arguments", "truncated_patches", "section_identities", "pinned_paths", "change_sections", "open_loop_sections",
 }
 
 

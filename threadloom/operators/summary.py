@@ -70,6 +70,10 @@ def fenced_lines(text: Column) -> Column:
     return F.pandas_udf(_fenced_of, "array<boolean>")(text)
 
 
+#: Fixed value: stop reasons of an answer that was cut off.
+CUT_OFF = r"(?i)length|truncat|max(?:imum)?[_ -]?(?:output[_ -]?)?tokens?|token[_ -]?limit"
+
+
 def unclosed_fence(text: Column) -> Column:
     """whether a text ends inside a code fence."""
     marks = fenced_lines(F.concat(text, F.lit("\n")))
@@ -77,8 +81,8 @@ def unclosed_fence(text: Column) -> Column:
 
 
 def truncated_patch(text: Column, stop_reason: Column) -> Column:
-    """whether an answer was cut off: by its stop reason, an open fence, or an open end."""
-    return F.coalesce(stop_reason.isin("length", "max_tokens"), F.lit(False)) | unclosed_fence(text) | text.rlike(r"(?:\.\.\.|…|[,;:(\[{])\s*\z")
+    """whether an answer was cut off: by its stop reason, a truncation mark or an open fence."""
+    return F.coalesce(stop_reason.rlike(CUT_OFF), F.lit(False)) | text.rlike(r"…✂\d+\s*\z") | unclosed_fence(text)
 
 
 def _stripped(text: Column) -> Column:
@@ -218,8 +222,9 @@ def missing_errors(summaries: DataFrame, errors: DataFrame) -> DataFrame:
     return _gap(gone, kind, F.col("message"), F.when(F.col("resolved"), 2).otherwise(5))
 
 
-def fabricated_files(summaries: DataFrame, known: DataFrame) -> DataFrame:
-    """File references that no known path (doc_id, path) ends with or lies under.
+def fabricated_files(summaries: DataFrame, known: DataFrame, said: DataFrame | None = None) -> DataFrame:
+    """File references that no known path (doc_id, path) ends with or lies under, and
+    that the messages do not hold either (``said``: doc_id, low, see ``records.grounded``).
 
     Known paths are spelled out into their suffixes, so the test is an equi-join.
     """
@@ -233,7 +238,10 @@ def fabricated_files(summaries: DataFrame, known: DataFrame) -> DataFrame:
     # Whole suffixes name the file; inner spans with a slash name one of its directories.
     owned = known.select("doc_id", F.explode(F.array_distinct(spans)).alias("low"), F.regexp_replace(normal_path(F.col("path")), r"\A/+", "").alias("full"))
     good = owned.where(F.endswith(F.col("full"), F.col("low")) | F.contains(F.col("low"), F.lit("/"))).select("doc_id", "low").distinct()
-    return _gap(refs.join(good, ["doc_id", "low"], "left_anti"), "fabricated-file", F.col("ref"), 4)
+    unknown = refs.join(good, ["doc_id", "low"], "left_anti")
+    if said is not None:
+        unknown = unknown.join(said.select("doc_id", "low").distinct(), ["doc_id", "low"], "left_anti")
+    return _gap(unknown, "fabricated-file", F.col("ref"), 4)
 
 
 def blocked_none(parts: DataFrame, unresolved: DataFrame) -> DataFrame:
@@ -330,6 +338,11 @@ def repaired(summaries: DataFrame, parts: DataFrame, gaps: DataFrame) -> DataFra
     return rendered(patched.withColumn("body", F.array_join(kept, "\n")).drop("claims"))
 
 
+def patchable(kind: Column, detail: Column) -> Column:
+    """whether a gap can be put right from the facts: all but contradictions."""
+    return (kind != "inconsistency") | detail.startswith("blocked-none")
+
+
 def semantic_gaps(parts: DataFrame, facts: DataFrame) -> DataFrame:
     """V4: facts (doc_id, kind, text, section) that their section does not bear out, or contradicts.
 

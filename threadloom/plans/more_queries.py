@@ -19,7 +19,7 @@ from threadloom.plans.registry import query
 
 @query("session_chunks", "turns")
 def session_chunks(turns: DataFrame) -> DataFrame:
-    ends = turns.where("role = 'user' AND tokens % 2 = 0").select("session_id", F.col("idx").alias("after_idx"), F.lit("user turn").alias("topic"), F.lit("normal").alias("priority"))
+    ends = turns.where("role = 'user'").select("session_id", F.col("idx").alias("after_idx"), F.lit("user turn").alias("topic"), F.lit("normal").alias("priority"))
     return R.chunks(turns, ends, 2000, 8000)
 
 
@@ -91,11 +91,10 @@ def semantic_stems(nodes: DataFrame) -> DataFrame:
     "canonical_arguments",
     "calls",
     sql="""SELECT session_id, call_id, CASE WHEN name = 'grep-search' THEN concat('{{"path":"","pattern":"', json_extract_string(args, '$.pattern'), '"}}')
-        WHEN name = 'write_file' THEN concat('{{"content":"","path":"', json_extract_string(args, '$.path'), '"}}') ELSE args END AS canonical FROM {calls} WHERE name <> 'ask_user' AND name <> 'bash'""",
+        WHEN name = 'write_file' THEN concat('{{"content":"","path":"', json_extract_string(args, '$.path'), '"}}') ELSE args END AS canonical FROM {calls}""",
 )
 def canonical_arguments(calls: DataFrame) -> DataFrame:
-    shown = calls.where("name <> 'ask_user' AND name <> 'bash'")
-    return shown.select("session_id", "call_id", J.canonical(F.col("args")).alias("canonical"))
+    return calls.select("session_id", "call_id", J.canonical(F.col("args")).alias("canonical"))
 
 
 @query(

@@ -171,13 +171,13 @@ def document_batches(docs: DataFrame) -> DataFrame:
 @query(
     "merged_boundaries",
     "turns",
-    sql="""WITH RECURSIVE b AS (SELECT session_id, idx, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS i FROM {turns} WHERE tokens % 3 = 0),
+    sql="""WITH RECURSIVE b AS (SELECT session_id, idx, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS i FROM {turns} WHERE role <> 'toolResult'),
     f AS (SELECT session_id, idx, i, idx AS last, true AS kept FROM b WHERE i = 1
         UNION ALL SELECT b.session_id, b.idx, b.i, CASE WHEN b.idx - f.last > 3 THEN b.idx ELSE f.last END, b.idx - f.last > 3 FROM f JOIN b ON b.session_id = f.session_id AND b.i = f.i + 1)
     SELECT session_id, idx FROM f WHERE kept""",
 )
 def merged_boundaries(turns: DataFrame) -> DataFrame:
-    return R.merged_boundaries(turns.where("tokens % 3 = 0"))
+    return R.merged_boundaries(turns.where("role <> 'toolResult'"))
 
 
 _TOPICS = """SELECT session_id, lineage_rank AS ord, concat('topic ', CAST(branch_id % 9 AS STRING)) AS topic, concat(CASE branch_id % 4 WHEN 0 THEN 'an error and a fix' WHEN 1 THEN 'crash' ELSE 'fine' END, ' in item') AS summary,

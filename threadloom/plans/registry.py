@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("telemetry_queries", "text_queries", "fact_queries", "reduction_queries", "state_queries", "message_queries", "stream_queries", "more_queries", "context_queries")
+MODULES = ("telemetry_queries", "text_queries", "fact_queries", "reduction_queries", "state_queries", "message_queries", "stream_queries", "more_queries", "context_queries", "rule_queries")
 
 
 def query(name: str, *relations: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:

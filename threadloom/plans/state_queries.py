@@ -228,18 +228,18 @@ def _nodes(nodes: DataFrame) -> DataFrame:
     "node_upsert",
     "nodes",
     sql=f"""
-    WITH n AS ({_NODES}), o AS (SELECT node_id, title, content, status, 1 AS updated_at FROM n WHERE length(title) % 2 = 0),
-    w AS (SELECT node_id, title, concat(content, CASE WHEN length(title) % 4 = 0 THEN '!' ELSE '' END) AS content, status, 2 AS updated_at FROM n WHERE length(title) % 3 > 0)
+    WITH n AS ({_NODES}), o AS (SELECT node_id, title, content, status, 1 AS updated_at FROM n WHERE kind = 'file' OR title LIKE '1-%'),
+    w AS (SELECT node_id, title, concat(content, CASE WHEN length(title) % 4 = 0 THEN '!' ELSE '' END) AS content, status, 2 AS updated_at FROM n WHERE kind = 'decision' OR title LIKE '%a%')
     SELECT coalesce(w.node_id, o.node_id) AS node_id, CASE WHEN w.node_id IS NOT NULL THEN w.title ELSE o.title END AS title, CASE WHEN w.node_id IS NOT NULL THEN w.content ELSE o.content END AS content,
         CASE WHEN w.node_id IS NOT NULL THEN w.status ELSE o.status END AS status,
         CASE WHEN w.node_id IS NULL THEN 1 WHEN o.node_id IS NULL OR o.content <> w.content THEN 2 ELSE 1 END AS updated_at
     FROM o FULL JOIN w ON o.node_id = w.node_id""",
 )
 def node_upsert(nodes: DataFrame) -> DataFrame:
-    base = _nodes(nodes).select("node_id", "title", "content", "status")
-    old = base.where("length(title) % 2 = 0").withColumn("updated_at", F.lit(1))
+    base, columns = _nodes(nodes), ["node_id", "title", "content", "status"]
+    old = base.where("kind = 'file' OR title LIKE '1-%'").select(columns).withColumn("updated_at", F.lit(1))
     mark = F.when(F.length("title") % 4 == 0, "!").otherwise("")
-    new = base.where("length(title) % 3 > 0").withColumn("content", F.concat("content", mark)).withColumn("updated_at", F.lit(2))
+    new = base.where("kind = 'decision' OR title LIKE '%a%'").select(columns).withColumn("content", F.concat("content", mark)).withColumn("updated_at", F.lit(2))
     return G.upsert_nodes(old, new)
 
 
@@ -286,14 +286,15 @@ def bm25_matches(nodes: DataFrame) -> DataFrame:
 
 @query(
     "graph_neighbours",
+    "nodes",
     "edges",
-    sql="""WITH s AS (SELECT from_id AS seed FROM {edges} GROUP BY 1 ORDER BY 1 LIMIT 12),
-    b AS (SELECT to_id AS node_id, weight FROM {edges} JOIN s ON from_id = seed UNION ALL SELECT from_id, weight FROM {edges} JOIN s ON to_id = seed)
+    sql=f"""WITH {_MATCHES}, s AS (SELECT node_id AS seed FROM bm ORDER BY round(bm25, 6) DESC, node_id LIMIT 12),
+    b AS (SELECT to_id AS node_id, weight FROM {{edges}} JOIN s ON from_id = seed UNION ALL SELECT from_id, weight FROM {{edges}} JOIN s ON to_id = seed)
     SELECT node_id, max(weight) AS graph FROM b GROUP BY 1""",
 )
-def graph_neighbours(edges: DataFrame) -> DataFrame:
-    seeds = edges.select(F.col("from_id").alias("node_id")).distinct().orderBy("node_id").limit(G.SEEDS)
-    return G.neighbours(edges, seeds)
+def graph_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    found = G.matches(G.postings(_nodes(nodes)), list(_TERMS)).withColumn("bm25", F.round("bm25", 6))
+    return G.neighbours(edges, found.orderBy(F.desc("bm25"), "node_id").limit(G.SEEDS).select("node_id"))
 
 
 @query(

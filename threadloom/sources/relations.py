@@ -84,6 +84,40 @@ RELATIONS: dict[str, str] = {
             call_id AS made FROM {turns}) t
         LEFT JOIN (SELECT session_id, call_id, args, CASE name WHEN 'listDir' THEN 'mcp/list.dir' ELSE name END AS name FROM {calls}) c
             ON c.session_id = t.session_id AND c.call_id = t.made""",
+    "clipped": "SELECT session_id, idx, CASE WHEN is_error THEN concat(text, '…✂', CAST(length(text) AS STRING)) ELSE text END AS text FROM {results}",
+    # Notes of a state, some of them noise.
+    "state_notes": """
+        SELECT session_id, idx, CASE WHEN text LIKE 'ok%' THEN 'loop' ELSE 'unresolved' END AS kind, concat('Unresolved error: ', text) AS text FROM {results}
+        UNION ALL SELECT session_id, ord, CASE k % 3 WHEN 0 THEN 'context' ELSE 'goal' END, concat(path, ':', CAST(k AS STRING), ': match') FROM {steps}
+        UNION ALL SELECT session_id, ord, 'constraint', CASE WHEN k % 2 = 0 THEN 'npm error must not fail' ELSE 'never fail' END FROM {steps}""",
+    "file_mentions": """
+        SELECT DISTINCT session_id, path AS ref FROM {steps}
+        UNION SELECT session_id, concat('./', path) FROM {steps} UNION SELECT session_id, regexp_extract(path, '[^/]*$', 0) FROM {steps}
+        UNION SELECT session_id, substr(path, 2) FROM {steps} UNION SELECT session_id, concat(path, 'x') FROM {steps}""",
+    "noted_loops": """
+        SELECT session_id, ord AS idx, CASE WHEN event_type IN ('click', 'error') THEN 'blocked' ELSE 'follow-up' END AS type,
+            concat('todo:  ', CASE WHEN k % 2 = 0 THEN path ELSE regexp_extract(path, '[^/]*$', 0) END) AS text FROM {steps}""",
+    # Details as older runs left them: some broken, some with fields of other types.
+    "details": """
+        SELECT o_orderkey AS run_key, CASE o_orderkey % 9 WHEN 1 THEN 'broken {{' WHEN 2 THEN '[1]' WHEN 3 THEN '{{"modifiedFiles":["a",1],"readFiles":[],"topics":[]}}'
+            ELSE concat('{{"modifiedFiles":["a.ts","b.ts","c.ts"],"readFiles":[],"topics":["x"],"method":"', CASE o_orderkey % 4 WHEN 0 THEN 'eesv' WHEN 1 THEN 'odd' ELSE 'heuristic' END,
+                '","profile":"', CASE o_orderstatus WHEN 'P' THEN 'none' ELSE 'light' END, '","totalMessages":', CAST(o_orderkey % 50 - 5 AS STRING),
+                CASE WHEN o_orderkey % 5 = 0 THEN ',"qualityScore":"high"' ELSE ',"qualityScore":87.5' END, CASE WHEN o_orderkey % 7 = 0 THEN ',"verified":1' ELSE ',"verified":true' END,
+                CASE WHEN o_orderkey % 11 = 0 THEN ',"plannedYield":1.5}}' ELSE ',"plannedYield":0.5}}' END) END AS text FROM {orders}""",
+    "evidence": """
+        SELECT session_id AS doc_id, CASE side WHEN 'current' THEN 0 ELSE 1 END AS side, kind, ord, text, CAST(0.5 + (ord % 5) / 10.0 AS DOUBLE) AS confidence, (ord % 3 <> 0) AS explicit
+        FROM {state_items}""",
+    "asked": """
+        SELECT CASE c_custkey % 4 WHEN 0 THEN 'maxCalls' WHEN 1 THEN 'maxInputTokens' WHEN 2 THEN 'maxLatencyMs' ELSE 'other' END AS name,
+            CASE WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 17 = 0 THEN 'many' WHEN c_custkey % 19 = 0 THEN CAST(NULL AS STRING)
+                WHEN c_custkey % 7 = 0 THEN concat(CAST(c_custkey * 60 AS STRING), '.5') ELSE CAST(c_custkey * CASE c_custkey % 4 WHEN 0 THEN 1 ELSE 900 END AS STRING) END AS value FROM {customer}""",
+    "settings": """
+        SELECT CASE c_custkey % 6 WHEN 0 THEN 'autoTriggerTimeoutMs' WHEN 1 THEN 'maxLlmCalls' WHEN 2 THEN 'codexMaxCallMs' WHEN 3 THEN 'maxLatencyMs' WHEN 4 THEN 'minContextPercent' ELSE 'backup' END AS name,
+            CASE WHEN c_custkey % 13 = 0 THEN '0' WHEN c_custkey % 17 = 0 THEN '"50"' WHEN c_custkey % 19 = 0 THEN 'true' WHEN c_custkey % 7 = 0 THEN concat(CAST(c_custkey AS STRING), '.5')
+                ELSE CAST(c_custkey * CASE WHEN c_custkey % 3 = 1 THEN 1 ELSE 100 END AS STRING) END AS value FROM {customer}""",
+    "deltas": """
+        SELECT session_id AS call_id, ord, CASE event_type WHEN 'view' THEN 'text_delta' WHEN 'click' THEN 'thinking_delta' WHEN 'purchase' THEN 'toolcall_delta' ELSE 'ping' END AS type,
+            CAST(floor(value) AS BIGINT) AS chars, ord * 50 AS at_ms, CAST(100 + session_id % 5 * 200 AS BIGINT) AS max_tokens, CAST(1000 + session_id % 3 * 2000 AS BIGINT) AS deadline_ms FROM {steps}""",
     # A branch as stored: messages, with the marks of compactions between them.
     "branch": """
         SELECT session_id, idx * 2 AS ord, 'message' AS type, role, CASE WHEN anchor THEN 'context' ELSE tool_name END AS tool_name, anchor AS anchored
