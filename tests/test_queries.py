@@ -17,10 +17,10 @@ def test_oracle(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.columns
-    assert df.count() >= 0
+def test_rows_only(spark, name):
+    """Queries without an oracle: all columns are computed, there are rows, and reruns agree."""
+    first, again = (sorted(map(repr, QUERIES[name](spark, SF).collect())) for _ in range(2))
+    assert first and first == again
 
 
 def test_entry(spark):
