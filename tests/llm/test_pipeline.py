@@ -12,7 +12,7 @@ from compare import check
 from pyspark.sql import functions as F
 from test_operators import brute_components, brute_fingerprint
 
-from threadloom.llm import queries
+from threadloom.llm import near_copies, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,6 +80,72 @@ def test_near_stage_finds_near_copies(spark):
     assert len(kept) < len(simhash)
 
 
+def crowd_sets(rng, size):
+    """Near copies of two texts with up to 5 edits at few places, copies cut short, and some sets of their own."""
+    found = []
+    for i in range(size):
+        words = [f"{'cd'[i % 5 == 0]}{j}" for j in range(rng.choice([100, 100, 100, 92, 84]))]
+        for _ in range(rng.randrange(6)):
+            words[rng.choice([3, 20, 21, 40, 60, 77, rng.randrange(80)])] = f"{rng.choice('xyz')}{rng.randrange(4)}"
+        found.append(near_copies.shingle_set(" ".join(words).encode()))
+    found += [near_copies.shingle_set(f"own {i} of the few words here".encode()) for i in range(5)]
+    return list({s.tobytes(): s for s in found}.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_crowd_pairs_lose_no_link(spark, seed):
+    """Every pair of one key at 0.8 whose labels differ is linked for certain, a candidate, or joined through such links."""
+    rng = random.Random(seed)
+    sets = crowd_sets(rng, 150)
+    n = len(sets)
+    members = [(key, i, len(s), i, n) for key in (1, 2) for i, s in enumerate(sets) if key == 1 or i % 2]
+    crowd = spark.createDataFrame(members, "key long, fold long, n long, label long, c long").repartition(3)
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "fold long, shingles binary")
+    certain, pairs = near_copies._crowd_pairs(crowd, table)
+    links = {(r["a"], r["b"]) for r in certain.collect()}
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    true = {(i, j) for j in range(n) for i in range(j) if near_copies.similar(sets[i], sets[j])}
+    assert links <= true and true
+
+    def classes(edges):
+        label = list(range(n))
+        for a, b in edges:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        return label
+
+    assert classes(links | (found & true)) == classes(true)
+    assert len(found) < n * (n - 1) / 4  # fewer than half of all pairs are judged
+
+
+def test_crowd_pairs_of_nothing(spark):
+    empty = spark.createDataFrame([], "key long, fold long, n long, label long, c long")
+    certain, pairs = near_copies._crowd_pairs(empty, spark.createDataFrame([], "fold long, shingles binary"))
+    assert certain.collect() == pairs.collect() == []
+
+
+def test_near_stage_crowd(spark, monkeypatch):
+    """A crowd whose members are mostly just under 0.8 of each other, with every key that is apart taken as a crowd."""
+    monkeypatch.setattr(near_copies, "CROWD", 3)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(120):
+        words = [f"c{j}" for j in range(100)]
+        for at in rng.sample(range(100), rng.randrange(1, 5)):
+            words[at] = f"x{rng.randrange(300)}"
+        texts.append(" ".join(words))
+    sets = [near_copies.shingle_set(t.encode()) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if near_copies.similar(a, b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_components(frame).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 120
+
+
 @pytest.mark.parametrize("stage", ["exact", "near", "mix"])
 def test_keys_hold_when_files_are_split_anew(spark, tmp_path, monkeypatch, stage):
     """Files are packed into other partitions after the rows are chosen; no document may be lost for it."""
