@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, map_arrow, partitions
+from .shared import documents, give_back, map_arrow, partitions
 
 TERMS = 1 << 16  # places for words; the last serves as the gap between texts and belongs to no word
 DIMENSIONS = 64  # of an index vector
@@ -283,7 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64).reshape(len(rows), WIDTH)
     y = np.array([int(r["label"] > 0) for r in rows], int)
     aside = np.array([zlib.crc32(b"aside%d" % r["doc_id"]) % 5 == 0 for r in rows], bool)
-    return fitted(vectors, x, y, aside)
+    model = fitted(vectors, x, y, aside)
+    del rows, x, y, aside
+    sent.destroy()  # its copy in the driver's JVM; all rows are here
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -84,6 +84,14 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return what the driver's Python has freed to the system, for the JVM next to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 Batches = Iterable[pa.RecordBatch]
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
