@@ -128,3 +128,12 @@ def test_late_events_on_a_stream(spark, tmp_path):
     query.awaitTermination(180)
     days = {str(r["start"])[:10]: r["events"] for r in spark.table("windows").collect()}
     assert set(days) <= {"2024-01-01", "2024-01-03", "2024-01-05"} and days.get("2024-01-01") in (1, 2)
+
+
+def test_tool_share_rounds_exact_halves_up(spark):
+    """23 of 40 characters are 57.5 percent: 58, though 23 / 40 * 100 falls just short of 57.5 as a double."""
+    sizes = [(1, 17, 23), (2, 3, 1), (3, 0, 0), (4, 199, 1)]
+    messages = spark.createDataFrame([(k, "m" * n) for k, n, _ in sizes], "session_id long, text string")
+    results = spark.createDataFrame([(k, "r" * n) for k, _, n in sizes], "session_id long, text string")
+    shares = {r["session_id"]: r["tool_percent"] for r in O.tool_share(messages, results).collect()}
+    assert shares == {1: 58, 2: 25, 3: 0, 4: 1}

@@ -271,5 +271,6 @@ def tool_share(messages: DataFrame, results: DataFrame) -> DataFrame:
     sizes = messages.select("session_id", F.length("text").alias("n"), F.lit(0).alias("tool")).unionByName(
         results.select("session_id", F.length("text").alias("n"), F.lit(1).alias("tool"))
     )
-    share = F.sum(F.col("n") * F.col("tool")) / F.nullif(F.sum("n"), F.lit(0))
-    return sizes.groupBy("session_id").agg(F.coalesce(F.floor(share * 100 + F.lit(0.5)), F.lit(0)).cast("long").alias("tool_percent"))
+    # Multiplied before it is divided: a percentage of exactly x.5 is then exact, and rounds up.
+    share = F.sum(F.col("n") * F.col("tool")) * F.lit(100.0) / F.nullif(F.sum("n"), F.lit(0))
+    return sizes.groupBy("session_id").agg(F.coalesce(F.floor(share + F.lit(0.5)), F.lit(0)).cast("long").alias("tool_percent"))
