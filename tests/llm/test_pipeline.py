@@ -146,6 +146,43 @@ def test_near_stage_crowd(spark, monkeypatch):
     assert got == dict(enumerate(label)) and 1 < len(set(label)) < 120
 
 
+def test_crowds_hold_each_member_once(spark):
+    """Keys that share a member are one crowd; members of one key are never parted."""
+    keys = {1: [5, 6, 7], 2: [7, 8], 3: [6, 8, 9], 4: [20, 21], 5: [21, 22]}
+    rows = [(key, fold, 10 * fold, fold % 3) for key, folds in keys.items() for fold in folds]
+    got = near_copies._crowds(spark.createDataFrame(rows, "key long, fold long, n long, label long")).collect()
+    by_crowd = {}
+    for r in got:
+        assert (r["n"], r["label"]) == (10 * r["fold"], r["fold"] % 3)
+        by_crowd.setdefault((r["key"], r["c"]), []).append(r["fold"])
+    assert sorted((c, sorted(folds)) for (_, c), folds in by_crowd.items()) == [(3, [20, 21, 22]), (5, [5, 6, 7, 8, 9])]
+    assert near_copies._crowds(spark.createDataFrame([], "key long, fold long, n long, label long")).collect() == []
+
+
+def test_near_stage_spells_out_a_crowd_once(spark, monkeypatch):
+    """Near copies that meet in many keys have their differences taken once each, not once per key."""
+    monkeypatch.setattr(near_copies, "CROWD", 3)
+    counted, stage = {}, near_copies.staged
+
+    def counting(df, name):
+        found = stage(df, name)
+        if name in ("differences", "items"):
+            counted[name] = found.count()
+        return found
+
+    monkeypatch.setattr(near_copies, "staged", counting)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(100):
+        words = [f"c{j}" for j in range(100)]
+        for at in rng.sample(range(100), rng.randrange(2, 6)):
+            words[at] = f"x{rng.randrange(300)}"
+        texts.append(" ".join(words))
+    near_copies.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert 0 < counted["differences"] <= 100
+    assert 0 < counted["items"] <= 100 * 50  # of both kinds at most 25, from five edited words
+
+
 @pytest.mark.parametrize("stage", ["exact", "near", "mix"])
 def test_keys_hold_when_files_are_split_anew(spark, tmp_path, monkeypatch, stage):
     """Files are packed into other partitions after the rows are chosen; no document may be lost for it."""

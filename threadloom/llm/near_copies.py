@@ -9,8 +9,8 @@ then judged by its whole sets, as 64-bit hashes of the shingles.
 Equal sets are folded first. Of the members of a key each is judged against one leader, by
 another order in each key, and what that links is one component; only pairs whose ends are
 still apart are judged in full. Where a key has a crowd, such pairs are not spelled out but
-found by what sets them apart from a reference set of the crowd (``_crowd_pairs``), so a crowd
-of near copies costs pairs in proportion to its size.
+found by what sets them apart from a reference set of the crowd (``_crowd_pairs``). Crowded
+keys that share members are one crowd (``_crowds``), so a member counts once, not once per key.
 """
 
 from __future__ import annotations
@@ -152,6 +152,21 @@ def _differences(members: DataFrame) -> DataFrame:
     return map_arrow(members.select(*kept, "ref", "shingles"), run, schema)
 
 
+def _crowds(members: DataFrame) -> DataFrame:
+    """The members (key, fold, n, label) of crowded keys once each, with the crowd as ``key`` and its size ``c``.
+
+    Near copies meet in many keys, whose members are much the same. Keys that share a member
+    are one crowd here, so each pair of one key is in one crowd, and a member's differences
+    are spelled out once instead of once per key.
+    """
+    least = staged(members.groupBy("key").agg(F.min("fold").alias("b")), "crowd-firsts")
+    ends = staged(members.join(least.hint("merge"), "key").select(F.col("fold").alias("a"), "b").distinct(), "crowd-ends")
+    crowds = staged(component_labels(ends), "crowd-labels").select(F.col("node").alias("fold"), F.col("label").alias("key"))
+    sizes = staged(crowds.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "crowd-sizes")
+    once = staged(members.select("fold", "n", "label").distinct().join(crowds.hint("merge"), "fold"), "crowd-members")
+    return staged(once.join(sizes.hint("merge"), "key").select("key", "fold", "n", "label", "c"), "crowds")
+
+
 def _crowd_pairs(crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links that are certain and candidate pairs (both a, b) of members (key, fold, n, label, c) of crowds.
 
@@ -227,7 +242,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = left.where(f"c <= {CROWD}")
     others = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("fold", "n", "label")))
     rest = few.join(others.hint("merge"), "key").where("fold < fold2 AND label <> label2").where(_sizes_allow("n", "n2"))
-    certain, pairs = _crowd_pairs(left.where(f"c > {CROWD}"), sets)
+    certain, pairs = _crowd_pairs(_crowds(left.where(f"c > {CROWD}")), sets)
     rest = rest.select(F.col("fold").alias("a"), F.col("fold2").alias("b")).unionByName(pairs).distinct()
     found = near.where("fold <> label").select(F.col("fold").alias("a"), F.col("label").alias("b"))
     links = found.unionByName(certain).unionByName(_judged(staged(rest.join(stars, ["a", "b"], "left_anti"), "rest"), sets))
