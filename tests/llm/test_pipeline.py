@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from compare import check
 from pyspark.sql import functions as F
@@ -80,6 +81,83 @@ def test_near_stage_finds_near_copies(spark):
     assert len(kept) < len(simhash)
 
 
+def random_sets(rng, *sizes):
+    """Two sets of random shingles: sizes of what is common, of the first's own, of the second's own."""
+    both, a, b = (rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(n % 2) for n in sizes)
+    return np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 47, 48, 49, 200, 1023, 1024, 3000])
+def test_near_stage_fingerprint(n):
+    """Each bit is 1 if set in over half the hashes, counted plainly."""
+    shingles, _ = random_sets(np.random.default_rng(n), n, 0, 0)
+    bits = np.unpackbits(near_copies._hashes(shingles).view(np.uint8), axis=1).astype(int)
+    assert (np.unpackbits(near_copies.simhash(shingles)) == (2 * bits.sum(axis=0) > n)).all()
+
+
+@pytest.mark.parametrize("sizes", [(8, 1, 1), (8, 0, 2), (16, 2, 2), (40, 0, 10), (400, 50, 50), (1600, 400, 0)])
+def test_near_stage_proposes_by_simhash(sizes):
+    """Pairs at exactly 0.8 share a SimHash key, and no check on fingerprints drops them; other pairs go."""
+    rng = np.random.default_rng(sum(sizes))
+    for b in (12, 18):
+        at = near_copies.tables(b)
+        for _ in range(20):
+            sets = random_sets(rng, *sizes)
+            prints = np.stack([near_copies.simhash(s) for s in sets])
+            keys = near_copies.table_keys(prints, at, 0)
+            assert near_copies.similar(*sets) and (keys[0] == keys[1]).any()
+            assert near_copies.near_prints(*prints)
+            assert np.bitwise_count(prints[0, :8] ^ prints[1, :8]).sum() <= near_copies.WORD_APART
+            other = near_copies.simhash(random_sets(rng, 50, 0, 0)[0])
+            assert not near_copies.near_prints(prints[0], other)
+
+
+def test_near_stage_tiny_sets():
+    """Sets of 4 and 5 at 0.8 always share a key."""
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = random_sets(rng, 4, 0, 1)
+        assert set(near_copies.tiny_keys(a)) & set(near_copies.tiny_keys(b)) and max(near_copies.tiny_keys(b)) < 0
+    assert near_copies.tiny_keys(random_sets(rng, 6, 0, 0)[0]) == []
+
+
+@pytest.mark.parametrize("merged", [1, 7, 1 << 15])
+def test_near_stage_keys_meet_across_batches(spark, monkeypatch, merged):
+    """All pairs of a key with few members, and each member of a crowd once, wherever batches end."""
+    monkeypatch.setattr(near_copies, "MERGED", merged)
+    monkeypatch.setattr(near_copies, "CROWD", 4)
+    sizes = [1, 2, 4, 5, 1, 9, 3, 12, 5, 2]
+    rows = [(key, 100 * key + i, 10, 7) for key, size in enumerate(sizes) for i in range(size)]
+    rows.append((1, 190, 13, 7))  # too large to be similar
+    rows.append((1, 191, 10, -8))  # all bits of the word differ
+    sizes[1] += 2
+    frame = spark.createDataFrame(sorted(rows), "key long, fold long, n long, word long").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = near_copies._met(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    crowds = {k for k, size in enumerate(sizes) if size > 4}
+    assert sorted((r["key"], r["a"], r["n"]) for r in got if r["key"] is not None) == sorted(r[:3] for r in rows if r[0] in crowds)
+    pairs = [(r["a"], r["b"]) for r in got if r["key"] is None]
+    few = [(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[0] not in crowds and x[2:] == y[2:]]
+    assert sorted(p for p in pairs if p[0] // 100 not in crowds) == sorted(few)
+    led = Counter(p[0] // 100 for p in pairs if p[0] // 100 in crowds)
+    assert led == {k: sizes[k] - 1 for k in crowds}
+
+
+def test_crowds_are_not_tied_by_chance(spark):
+    """A member of two crowds' keys by chance is in both, and they stay two; every key is in one crowd."""
+    keys = {1: [5, 6, 7], 2: [5, 6, 8], 3: [6, 7, 8, 5, 30], 4: [20, 21, 22], 5: [20, 21, 22, 30], 6: [20, 22, 40], 7: [41, 42]}
+    rows = [(key, fold, fold, 0) for key, folds in keys.items() for fold in folds]
+    got = near_copies._crowds(spark.createDataFrame(rows, "key long, fold long, n long, label long"), core=3).collect()
+    by_crowd = {}
+    for r in got:
+        by_crowd.setdefault((r["key"], r["c"]), []).append(r["fold"])
+    assert sorted((c, sorted(f)) for (_, c), f in by_crowd.items()) == [(2, [41, 42]), (5, [5, 6, 7, 8, 30]), (5, [20, 21, 22, 30, 40])]
+
+
 def crowd_sets(rng, size):
     """Near copies of two texts with up to 5 edits at few places, copies cut short, and some sets of their own."""
     found = []

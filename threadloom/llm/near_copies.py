@@ -1,21 +1,29 @@
-"""Near copies by the similarity of their word runs: MinHash bands propose, exact sets decide.
+"""Near copies by the similarity of their word runs: SimHash keys propose, exact sets decide.
 
 A document's set holds its 5-word shingles (lower-cased words, as in ``simhash``). Documents
-are linked where the Jaccard similarity of their sets is at least 0.8. Candidates share one
-of 40 keys, each of 5 minima: a pair at exactly 0.8 shares none with a probability of
-(1 - 0.8**5)**40, about 1 in 10 million, and a closer pair less often. Every candidate is
-then judged by its whole sets, as 64-bit hashes of the shingles.
-
-Equal sets are folded first. Of the members of a key each is judged against one leader, by
-another order in each key, and what that links is one component; only pairs whose ends are
-still apart are judged in full. Where a key has a crowd, such pairs are not spelled out but
-found by what sets them apart from a reference set of the crowd (``_crowd_pairs``). Crowded
-keys that share members are one crowd (``_crowds``), so a member counts once, not once per key.
+are linked where the Jaccard similarity of their sets is at least 0.8. The set's fingerprint
+is a SimHash of 2048 bits (a bit is 1 if set in over half the hashes). At a similarity of 0.8
+two sets are at an angle of at most acos(8/9), so each of their bits differs with a
+probability of at most ``APART``; one pair of sizes goes beyond that and has keys of its own
+(``tiny_keys``). Candidates share a key of ``b`` chosen bits in one of so many tables that a
+pair at exactly 0.8 shares none with a probability of ``MISS``, a closer pair less often
+(``tables``); ``b`` grows with the number of sets, so that keys stay thinly populated. Keys
+are taken some tables at a time, so that few of them are on disk at once. Of the candidates
+those go whose fingerprints differ in over a quarter of the bits; the others are judged by
+their whole sets, as 64-bit hashes of the shingles.
+
+Equal sets are folded first. Each set is judged against two of its candidates, and what that
+links is one component; only pairs whose ends are still apart are judged in full. Where a key
+has a crowd, such pairs are not spelled out but found by what sets them apart from a
+reference set of the crowd (``_crowd_pairs``). Crowded keys that share members are one crowd
+(``_crowds``), so a member counts once, not once per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .shared import documents, map_arrow, staged
+from .shared import documents, give_back, map_arrow, staged
 
 SHINGLE = 5
-BANDS, ROWS = 40, 5
+BITS = 2048  # of a fingerprint
+APART = 0.1515  # acos(8 / 9) / pi, rounded up
+MISS = 1e-5
+TABLES = 48  # whose keys are on disk at once
+WORD_APART = 26  # of the first 64 bits of a fingerprint: at 0.8 more differ in 1 of 3 million pairs
 CROWD = 64  # members of a key above which its pairs are found by differences from a reference set
-PART = 1024  # shingles whose minima are taken at a time
+MERGED = 1 << 15  # rows whose keys are compared at a time
+PART = 1024  # shingles whose bits are counted at a time
+FEW = 24  # rows of bits below which adding them up at once is quicker than adders
 _RNG = np.random.default_rng(5)
 _WORD = _RNG.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-_TIMES = _RNG.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
-_BAND = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = _RNG.integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -52,13 +64,61 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(_mixed(sum(h[j : j + n] * _WORD[j] for j in range(SHINGLE))))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band, which tells the band too."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(x), PART):
-        np.minimum(least, (_TIMES * x[at : at + PART] + _PLUS).min(axis=1), out=least)
-    return _mixed((least.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) ^ _BAND[:, 0]).view(np.int64)
+def _ones(words: np.ndarray) -> np.ndarray:
+    """How many rows of ``words`` set each bit: full adders over whole words, then sums of what is left."""
+    total, weight = np.zeros(64 * words.shape[1], np.int64), 1
+    while True:
+        carries = []
+        while len(words) > 2 * FEW:
+            k = len(words) // 3
+            a, b, c = words[:k], words[k : 2 * k], words[2 * k : 3 * k]
+            odd = a ^ b
+            carries.append((a & b) | (c & odd))
+            words = np.concatenate([odd ^ c, words[3 * k :]])
+        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
+        total += weight * bits.sum(axis=0, dtype=np.uint8).astype(np.int64)  # at most 2 * FEW rows
+        if not carries:
+            return total
+        words, weight = np.concatenate(carries), 2 * weight
+
+
+def _hashes(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` bits of each shingle."""
+    wide = shingles[:, None] * _TIMES
+    return wide ^ (wide >> np.uint64(32))
+
+
+def simhash(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set: its bytes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), PART):
+        ones += _ones(_hashes(shingles[at : at + PART]))
+    return np.packbits(2 * ones > len(shingles))
+
+
+def tables(b: int) -> np.ndarray:
+    """The bits of each table's keys: as many tables as ``MISS`` takes."""
+    n = math.ceil(math.log(MISS) / math.log1p(-((1 - APART) ** b)))
+    rng = np.random.default_rng(b)
+    return np.array([64 + rng.choice(BITS - 64, b, replace=False) for _ in range(n)])
+
+
+def table_keys(prints: np.ndarray, at: np.ndarray, first: int) -> np.ndarray:
+    """The keys of each fingerprint (a row of bytes) in the tables ``at``, numbered from ``first``."""
+    bits = np.unpackbits(prints, axis=1)[:, at.ravel()].reshape(len(prints), *at.shape)
+    wide = np.zeros((*bits.shape[:2], 32), np.uint8)
+    wide[:, :, : at.shape[1]] = bits
+    keys = np.packbits(wide, axis=2).view(np.uint32)[:, :, 0].astype(np.int64)
+    return keys | (np.arange(first, first + len(at), dtype=np.int64) << 32)
+
+
+def tiny_keys(shingles: np.ndarray) -> list[int]:
+    """Keys that sets of 4 and of 5 with 4 in common share: the 4. Sums of so few hashes tie so
+    often that their bits differ more (0.1875) than their angle says."""
+    if len(shingles) not in (4, 5):
+        return []
+    fours = [shingles] if len(shingles) == 4 else [np.delete(shingles, i) for i in range(5)]
+    return [-1 - (xxhash.xxh64_intdigest(f.tobytes()) >> 1) for f in fours]  # below any table's
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -67,22 +127,134 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def near_prints(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether at most a quarter of the bits differ: at 0.8 that is 12 standard deviations off (7 for sets of 4 and 5)."""
+    return 4 * int(np.bitwise_count(a ^ b).sum()) <= BITS
+
+
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, ``fold`` (a hash of the set), ``n`` (its size) and its keys."""
+    """doc_id, ``fold`` (a hash of the set), ``n`` (its size), its fingerprint ``fp`` and its ``tiny`` keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             folds = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            prints = pa.array([simhash(s).tobytes() for s in sets], pa.binary())
+            tiny = pa.array([tiny_keys(s) for s in sets], pa.list_(pa.int64()))
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(folds), n, keys], names=["doc_id", "fold", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(folds), n, prints, tiny], names=["doc_id", "fold", "n", "fp", "tiny"])
 
-    empty = F.array().cast("array<bigint>")
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("fold"), F.lit(0).cast("long").alias("n"), empty.alias("keys")).schema
+    none, empty = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    schema = docs.select("doc_id", none.alias("fold"), none.alias("n"), F.lit(b"").alias("fp"), empty.alias("tiny")).schema
     return map_arrow(docs, run, schema)
 
 
+def _keyed(reps: DataFrame, at: np.ndarray, first: int) -> DataFrame:
+    """(key, fold, n, word) of each row of ``reps`` in the tables ``at``; ``word``: its first 64 bits. With the first tables its tiny keys."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(batch), -1)
+            fold, n = (batch.column(c).to_numpy() for c in ("fold", "n"))
+            word = prints[:, :8].copy().view(np.int64)[:, 0]
+            keys = [table_keys(prints, at, first).ravel()]
+            rows = [np.repeat(np.arange(len(batch)), len(at))]
+            if not first:
+                tiny = batch.column("tiny").to_pylist()
+                keys.append(np.array([k for ks in tiny for k in ks], np.int64))
+                rows.append(np.repeat(np.arange(len(batch)), [len(ks) for ks in tiny]))
+            row = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), fold[row], n[row], word[row])], names=["key", "fold", "n", "word"])
+
+    return map_arrow(reps.select("fold", "n", "fp", "tiny"), run, "key bigint, fold bigint, n bigint, word bigint")
+
+
+def _larger(batches: Iterable[pa.RecordBatch], names: list[str], merged: int) -> Iterator[list[np.ndarray]]:
+    """The columns of some batches at a time: these rows are narrow, and batches are made for texts."""
+    got, n = [], 0
+    for batch in batches:
+        got.append([batch.column(c).to_numpy() for c in names])
+        n += len(batch)
+        if n >= merged:
+            yield list(map(np.concatenate, zip(*got, strict=True)))
+            got, n = [], 0
+    if n:
+        yield list(map(np.concatenate, zip(*got, strict=True)))
+
+
+def _met(sorted_keys: DataFrame) -> DataFrame:
+    """Of rows (key, fold, n, word) sorted by key, those of a key in one partition: candidate pairs (a, b), ``key`` null;
+    and of keys with a crowd the members (key, a, n), ``b`` null, and their pairs with one of them.
+
+    At most a crowd's first rows are held back from one batch to the next.
+    """
+    crowd, merged = CROWD, MERGED
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "fold", "n", "word"]
+        held, lead = [np.zeros(0, np.int64)] * 4, None  # rows of the last key; where it is a crowd, the row that leads
+
+        def pairs(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
+            least, most = np.minimum(x[2], y[2]), np.maximum(x[2], y[2])
+            kept = (x[1] != y[1]) & (5 * least >= 4 * most) & (np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) <= WORD_APART)
+            x, y = x[1][kept], y[1][kept]
+            none = pa.nulls(len(x), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none], names=["key", "a", "b", "n"])
+
+        def members(x: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.nulls(len(x[0]), pa.int64()), pa.array(x[2])], names=["key", "a", "b", "n"])
+
+        def few(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for d in range(1, crowd):
+                i = np.flatnonzero(rows[0][:-d] == rows[0][d:])
+                if not len(i):
+                    return
+                yield pairs([c[i] for c in rows], [c[i + d] for c in rows])
+
+        for part in _larger(batches, names, merged):
+            rows = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            sizes = np.diff(np.r_[starts, len(rows[0])])
+            some = np.zeros(len(rows[0]), bool)
+            for at, size in zip(starts.tolist(), sizes.tolist(), strict=True) if lead is not None or sizes.max() > crowd else ():
+                led = lead is not None and at == 0 and rows[0][0] == lead[0][0]
+                if not led and size <= crowd:
+                    continue
+                some[at : at + size] = True
+                own = [c[at : at + size] for c in rows]
+                head = lead if led else [c[:1] for c in own]
+                yield members(own)
+                yield pairs(own, [np.repeat(c, size) for c in head])
+                if at + size == len(rows[0]):
+                    lead = head
+            last = starts[-1]
+            if some[last]:
+                held = [c[:0] for c in rows]
+            else:
+                held, lead = [c[last:] for c in rows], None
+                some[last:] = True
+            yield from few([c[~some] for c in rows])
+        yield from few(held)
+
+    return map_arrow(sorted_keys, run, "key bigint, a bigint, b bigint, n bigint")
+
+
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs (a, b) that may be similar, members (key, fold, n) of keys with a crowd, and in how many keys one of a crowd's own is."""
+    at = tables(max(12, min(32, reps.count().bit_length())))
+    found = []
+    for first in range(0, len(at), TABLES):
+        keyed = _keyed(reps, at[first : first + TABLES], first)
+        found.append(staged(_met(keyed.repartition("key").sortWithinPartitions("key")), "met"))
+        give_back(reps.sparkSession)
+    met = reduce(DataFrame.unionByName, found)
+    pairs = staged(met.where("key IS NULL").select("a", "b").distinct(), "met-pairs")
+    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("fold"), "n")
+    return pairs, members, max(1, len(at) // 16)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(fold, shingles) of each row of ``texts`` (fold, text)."""
 
@@ -94,13 +266,13 @@ def _sets(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("fold", "text"), run, "fold bigint, shingles binary")
 
 
-def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _judged(pairs: DataFrame, sets: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool] = similar) -> DataFrame:
+    """The pairs (a, b) whose sets (fold, shingles) are similar; or whatever else is to be tested of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = zip(batch.column("x"), batch.column("y"), strict=True)
-            kept = pa.array([similar(*(np.frombuffer(s.as_py(), np.uint64) for s in xy)) for xy in sides], pa.bool_())
+            kept = pa.array([test(*(np.frombuffer(s.as_py(), np.uint64) for s in xy)) for xy in sides], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(kept)
 
     # Staged between the joins, so that AQE can split the pairs of a fold that has very many.
@@ -152,18 +324,24 @@ def _differences(members: DataFrame) -> DataFrame:
     return map_arrow(members.select(*kept, "ref", "shingles"), run, schema)
 
 
-def _crowds(members: DataFrame) -> DataFrame:
+def _crowds(members: DataFrame, core: int = 1) -> DataFrame:
     """The members (key, fold, n, label) of crowded keys once each, with the crowd as ``key`` and its size ``c``.
 
     Near copies meet in many keys, whose members are much the same. Keys that share a member
     are one crowd here, so each pair of one key is in one crowd, and a member's differences
-    are spelled out once instead of once per key.
+    are spelled out once instead of once per key. Only members of at least ``core`` keys tie
+    keys together: one that meets a crowd by chance belongs to it, but brings no other crowd.
     """
-    least = staged(members.groupBy("key").agg(F.min("fold").alias("b")), "crowd-firsts")
-    ends = staged(members.join(least.hint("merge"), "key").select(F.col("fold").alias("a"), "b").distinct(), "crowd-ends")
-    crowds = staged(component_labels(ends), "crowd-labels").select(F.col("node").alias("fold"), F.col("label").alias("key"))
-    sizes = staged(crowds.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "crowd-sizes")
-    once = staged(members.select("fold", "n", "label").distinct().join(crowds.hint("merge"), "fold"), "crowd-members")
+    often = staged(members.groupBy("fold").agg(F.count(F.lit(1)).alias("keys")), "crowd-often")
+    tied = F.when(F.col("keys") >= core, F.col("fold"))
+    named = staged(members.join(often.hint("merge"), "fold").withColumn("tied", tied), "crowd-ties")
+    least = staged(named.groupBy("key").agg(F.coalesce(F.min("tied"), F.min("fold")).alias("b")), "crowd-firsts")
+    ends = named.join(least.hint("merge"), "key").select(F.col("tied").alias("a"), "b").where("a IS NOT NULL").distinct()
+    crowds = staged(component_labels(staged(ends, "crowd-ends")), "crowd-labels").select(F.col("node").alias("b"), "label")
+    of_keys = staged(least.join(crowds.hint("merge"), "b", "left").select("key", F.coalesce("label", "b").alias("crowd")), "crowd-keys")
+    once = members.join(of_keys.hint("merge"), "key").select(F.col("crowd").alias("key"), "fold", "n", "label").distinct()
+    once = staged(once, "crowd-members")
+    sizes = staged(once.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "crowd-sizes")
     return staged(once.join(sizes.hint("merge"), "key").select("key", "fold", "n", "label", "c"), "crowds")
 
 
@@ -219,33 +397,34 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     base = documents(docs, id_col, text_col)
     marked = staged(_marked(base), "marked")
-    reps = staged(marked.groupBy("fold").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "reps")
-    keyed = staged(reps.where("n > 0").select("fold", "n", F.explode("keys").alias("key")), "band-keys")
-    order = F.struct(F.xxhash64("fold", "key").alias("o"), "fold", "n")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("lead")).where("c > 1")
-    shared = staged(shared.select("key", F.col("lead.fold").alias("lead"), F.col("lead.n").alias("m")), "shared-keys")
-    member = staged(keyed.join(shared.hint("merge"), "key"), "band-members")
-
-    wanted = member.select("fold").distinct().join(reps.select("fold", F.col("first").alias("doc_id")), "fold")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "tiny")]
+    reps = staged(marked.groupBy("fold").agg(F.min("doc_id").alias("first"), *firsts), "reps")
+    pairs, members, core = _candidates(reps.where("n > 3"))  # smaller sets at 0.8 are equal
+    close = _judged(pairs, reps.select("fold", F.col("fp").alias("shingles")), near_prints)
+
+    both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    wanted = staged(both.select(F.col("a").alias("fold")).unionByName(members.select("fold")).distinct(), "wanted")
+    wanted = staged(wanted.join(reps.select("fold", F.col("first").alias("doc_id")).hint("merge"), "fold"), "wanted-rows")
     sets = staged(_sets(base.join(wanted.hint("merge"), "doc_id")), "sets")
 
-    stars = member.where("fold <> lead").where(_sizes_allow("n", "m"))
-    stars = staged(stars.select(F.least("fold", "lead").alias("a"), F.greatest("fold", "lead").alias("b")).distinct(), "stars")
+    ends = both.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b"))
+    stars = staged(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
     links = _judged(stars, sets)
     near = staged(component_labels(links), "star-labels").withColumnRenamed("node", "fold")
 
-    placed = member.select("key", "fold", "n").join(near.hint("merge"), "fold", "left")
+    label_a, label_b = (near.select(F.col("fold").alias(c), F.col("label").alias(f"label_{c}")).hint("merge") for c in "ab")
+    rest = staged(close.join(stars, ["a", "b"], "left_anti").join(label_a, "a", "left"), "rest-a").join(label_b, "b", "left")
+    rest = rest.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
+
+    placed = members.join(near.hint("merge"), "fold", "left")
     placed = staged(placed.select("key", "fold", "n", F.coalesce("label", "fold").alias("label")), "placed")
-    apart = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("c"))
-    apart = staged(apart.where("l < h").select("key", "c"), "apart")
+    apart = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+    apart = staged(apart.where("l < h").select("key"), "apart")
     left = staged(placed.join(apart.hint("merge"), "key"), "left")
-    few = left.where(f"c <= {CROWD}")
-    others = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("fold", "n", "label")))
-    rest = few.join(others.hint("merge"), "key").where("fold < fold2 AND label <> label2").where(_sizes_allow("n", "n2"))
-    certain, pairs = _crowd_pairs(_crowds(left.where(f"c > {CROWD}")), sets)
-    rest = rest.select(F.col("fold").alias("a"), F.col("fold2").alias("b")).unionByName(pairs).distinct()
+    certain, pairs = _crowd_pairs(_crowds(left, core), sets)
+    rest = staged(rest.unionByName(pairs.join(stars, ["a", "b"], "left_anti")).distinct(), "rest")
     found = near.where("fold <> label").select(F.col("fold").alias("a"), F.col("label").alias("b"))
-    links = found.unionByName(certain).unionByName(_judged(staged(rest.join(stars, ["a", "b"], "left_anti"), "rest"), sets))
+    links = found.unionByName(certain).unionByName(_judged(rest, sets))
 
     labels = staged(component_labels(links), "labels").withColumnRenamed("node", "fold")
     linked = reps.select("fold", "first").join(labels.hint("merge"), "fold", "left").withColumn("label", F.coalesce("label", "fold"))

@@ -84,9 +84,14 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def give_back() -> None:
-    """Return what the driver's Python has freed to the system, for the JVM next to it."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return what the driver's Python has freed to the system, for the JVM next to it.
+
+    With ``spark`` the JVM collects too, which also removes the shuffle files of frames that are gone.
+    """
     gc.collect()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
