@@ -13,7 +13,7 @@ from compare import check
 from pyspark.sql import functions as F
 from test_operators import brute_components, brute_fingerprint
 
-from threadloom.llm import near_copies, queries
+from threadloom.llm import near_copies, quality_classifier, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -303,6 +303,18 @@ def test_quality_stage_drops_by_score(spark, docs):
     assert 0 < kept.count() <= docs.count()
 
 
+def test_training_gets_no_rows_in_the_driver(spark, docs, monkeypatch):
+    """What training gets comes as Arrow: rows took several times its size in the driver's JVM and Python."""
+
+    def no_rows(self):
+        raise AssertionError("rows in the driver")
+
+    monkeypatch.setattr(type(docs), "collect", no_rows)
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    model = quality_classifier.train(texts, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.vectors.shape == (quality_classifier.TERMS, quality_classifier.DIMENSIONS) and model.vectors.any()
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"

@@ -28,6 +28,7 @@ from .shared import documents, give_back, map_arrow, partitions
 
 TERMS = 1 << 16  # places for words; the last serves as the gap between texts and belongs to no word
 DIMENSIONS = 64  # of an index vector
+SLICE = 4096  # word places whose vectors are scaled at a time
 NONZERO = 8
 REACH = 2  # words to either side that count as neighbours
 MEASURES = 6
@@ -136,8 +137,8 @@ class ContextSums:
         return _vectors(some, self.sums[some])
 
 
-def _vectors(terms: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(terms, pa.int32()), pa.array([v.tobytes() for v in sums.astype("<i8")], pa.binary())], names=["term", "sums"])
+def _vectors(terms: np.ndarray, sums: np.ndarray, kind: str = "<i8") -> pa.RecordBatch:
+    return pa.record_batch([pa.array(terms, pa.int32()), pa.array([v.tobytes() for v in sums.astype(kind)], pa.binary())], names=["term", "sums"])
 
 
 def context_sums(texts: DataFrame) -> np.ndarray:
@@ -161,20 +162,26 @@ def context_sums(texts: DataFrame) -> np.ndarray:
             for term, sums in zip(batch.column("term").to_pylist(), batch.column("sums").to_pylist(), strict=True):
                 found[term] = found.get(term, 0) + np.frombuffer(sums, "<i8")
         if found:
-            yield _vectors(np.array(list(found)), np.stack(list(found.values())))
+            sums = np.stack(list(found.values()))
+            yield _vectors(np.array(list(found)), sums, "<i4" if np.abs(sums).max() < 1 << 31 else "<i8")
 
     few = texts.select("text").coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
     parts = map_arrow(few, run, "term int, sums binary").repartition(partitions(texts), "term")
     found = np.zeros((TERMS, DIMENSIONS))
-    for term, sums in map_arrow(parts, total, "term int, sums binary").collect():
-        found[term] = np.frombuffer(sums, "<i8")
+    for batch in map_arrow(parts, total, "term int, sums binary").toArrow().to_batches():  # rows of collect() would take several times this memory
+        for term, sums in zip(batch.column("term").to_pylist(), batch.column("sums"), strict=True):
+            found[term] = np.frombuffer(sums.as_buffer(), f"<i{len(sums.as_buffer()) // DIMENSIONS}")
     return found
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
     """The context half of the word vectors; the other half are the index vectors."""
-    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    return (sums / np.where(norm == 0, 1, norm)).astype(np.float32)
+    found = np.empty(sums.shape, np.float32)
+    for at in range(0, len(sums), SLICE):
+        some = sums[at : at + SLICE]
+        norm = np.linalg.norm(some, axis=1, keepdims=True)
+        found[at : at + SLICE] = some / np.where(norm == 0, 1, norm)
+    return found
 
 
 def pooled(text: bytes, terms: _Terms, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -263,6 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     """
     base = documents(docs)
     vectors = word_vectors(context_sums(base))
+    give_back(docs.sparkSession)
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where(
         ~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("doc_id").isNotNull()
     )
@@ -279,14 +287,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
 
     labelled = base.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
     found = map_arrow(labelled, run, "doc_id bigint, label int, x binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x"))
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64).reshape(len(rows), WIDTH)
-    y = np.array([int(r["label"] > 0) for r in rows], int)
-    aside = np.array([zlib.crc32(b"aside%d" % r["doc_id"]) % 5 == 0 for r in rows], bool)
-    model = fitted(vectors, x, y, aside)
-    del rows, x, y, aside
+    rows = found.toArrow().sort_by("doc_id")
     sent.destroy()  # its copy in the driver's JVM; all rows are here
-    give_back()
+    x = np.array([np.frombuffer(r.as_buffer(), "<f4") for r in rows["x"]], np.float64).reshape(len(rows), WIDTH)
+    y = np.array([int(label > 0) for label in rows["label"].to_pylist()], int)
+    aside = np.array([zlib.crc32(b"aside%d" % doc_id) % 5 == 0 for doc_id in rows["doc_id"].to_pylist()], bool)
+    del rows
+    give_back(docs.sparkSession)  # before training, which takes memory in turn
+    model = fitted(vectors, x, y, aside)
+    del x, y, aside
+    give_back(docs.sparkSession)
     return model
 
 
