@@ -261,6 +261,56 @@ def test_near_stage_spells_out_a_crowd_once(spark, monkeypatch):
     assert 0 < counted["items"] <= 100 * 50  # of both kinds at most 25, from five edited words
 
 
+def test_near_stage_leaves_a_crowds_pairs_to_its_search(spark, monkeypatch):
+    """Members of a crowd that also meet in keys of few rows are not paired there: the pairs grow with the members."""
+    monkeypatch.setattr(near_copies, "CROWD", 12)
+    counted, stage = {}, near_copies.staged
+
+    def counting(df, name):
+        found = stage(df, name)
+        if name in ("met-pairs", "rest-a"):
+            counted[name] = found.count()
+        return found
+
+    monkeypatch.setattr(near_copies, "staged", counting)
+    rng = random.Random(10)
+    size = 400
+    texts = []
+    for _ in range(size):
+        words = [f"c{j}" for j in range(100)]
+        for at in rng.sample(range(100), rng.randrange(1, 5)):
+            words[at] = f"x{rng.randrange(300)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"own{i}v{j}" for j in range(60)) for i in range(40)]
+    sets = [near_copies.shingle_set(t.encode()) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if near_copies.similar(a, b) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_components(frame).collect()}
+    assert got == dict(enumerate(label)) and 41 < len(set(label)) < size
+    assert 0 < counted["met-pairs"] < size * (size - 1) / 10
+    assert counted["rest-a"] < 12 * size
+
+
+def test_known_crowds_meet_nowhere_else(spark, monkeypatch):
+    """Rows of one known crowd make no pair, and of a crowded key only the row that leads and those of other crowds come out."""
+    monkeypatch.setattr(near_copies, "CROWD", 4)
+    crowd = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7}
+    keys = {0: [1, 2, 6], 1: [1, 2, 3, 4, 5, 7], 2: [6, 7], 3: [1, 2, 3, 4, 5]}
+    rows = [(key, fold, 10, 7, crowd[fold]) for key, folds in keys.items() for fold in folds]
+    frame = spark.createDataFrame(rows, "key long, fold long, n long, word long, crowd long").coalesce(1)
+    got = near_copies._met(frame).collect()
+    assert sorted((r["a"], r["b"]) for r in got if r["key"] is None) == [(1, 6), (1, 7), (2, 6), (6, 7)]
+    assert sorted((r["key"], r["a"]) for r in got if r["key"] is not None) == [(1, 1), (1, 7), (3, 1)]
+    only = near_copies._met(frame.drop("crowd"), spelled=False).collect()
+    assert {r["key"] for r in only if r["key"] is not None} == {1, 3}
+    assert sorted((r["a"], r["b"]) for r in only if r["key"] is None) == sorted([(1, f) for k in (1, 3) for f in keys[k][1:]])
+
+
 @pytest.mark.parametrize("stage", ["exact", "near", "mix"])
 def test_keys_hold_when_files_are_split_anew(spark, tmp_path, monkeypatch, stage):
     """Files are packed into other partitions after the rows are chosen; no document may be lost for it."""

@@ -16,7 +16,10 @@ Equal sets are folded first. Each set is judged against two of its candidates, a
 links is one component; only pairs whose ends are still apart are judged in full. Where a key
 has a crowd, such pairs are not spelled out but found by what sets them apart from a
 reference set of the crowd (``_crowd_pairs``). Crowded keys that share members are one crowd
-(``_crowds``), so a member counts once, not once per key.
+(``_crowds``), so a member counts once, not once per key. The first tables are gone through
+for crowds alone before any pair is spelled out: two members of one crowd also meet in keys
+of few rows, in so many of them that these would spell out nearly all pairs of the crowd.
+As its search finds every link between its members, such pairs are left to it.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ MISS = 1e-5
 TABLES = 48  # whose keys are on disk at once
 WORD_APART = 26  # of the first 64 bits of a fingerprint: at 0.8 more differ in 1 of 3 million pairs
 CROWD = 64  # members of a key above which its pairs are found by differences from a reference set
+HEAD = 8  # items that two lists of differences must share within their heads, where they must share as many at all
 MERGED = 1 << 15  # rows whose keys are compared at a time
 PART = 1024  # shingles whose bits are counted at a time
 FEW = 24  # rows of bits below which adding them up at once is quicker than adders
@@ -150,14 +154,14 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(reps: DataFrame, at: np.ndarray, first: int) -> DataFrame:
-    """(key, fold, n, word) of each row of ``reps`` in the tables ``at``; ``word``: its first 64 bits. With the first tables its tiny keys."""
+    """(key, fold, n, word, crowd) of each row of ``reps`` in the tables ``at``; ``word``: its first 64 bits. With the first tables its tiny keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(batch), -1)
-            fold, n = (batch.column(c).to_numpy() for c in ("fold", "n"))
+            fold, n, crowd = (batch.column(c).to_numpy() for c in ("fold", "n", "crowd"))
             word = prints[:, :8].copy().view(np.int64)[:, 0]
             keys = [table_keys(prints, at, first).ravel()]
             rows = [np.repeat(np.arange(len(batch)), len(at))]
@@ -166,9 +170,10 @@ def _keyed(reps: DataFrame, at: np.ndarray, first: int) -> DataFrame:
                 keys.append(np.array([k for ks in tiny for k in ks], np.int64))
                 rows.append(np.repeat(np.arange(len(batch)), [len(ks) for ks in tiny]))
             row = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), fold[row], n[row], word[row])], names=["key", "fold", "n", "word"])
+            columns = (np.concatenate(keys), fold[row], n[row], word[row], crowd[row])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "fold", "n", "word", "crowd"])
 
-    return map_arrow(reps.select("fold", "n", "fp", "tiny"), run, "key bigint, fold bigint, n bigint, word bigint")
+    return map_arrow(reps.select("fold", "n", "fp", "tiny", "crowd"), run, "key bigint, fold bigint, n bigint, word bigint, crowd bigint")
 
 
 def _larger(batches: Iterable[pa.RecordBatch], names: list[str], merged: int) -> Iterator[list[np.ndarray]]:
@@ -184,21 +189,23 @@ def _larger(batches: Iterable[pa.RecordBatch], names: list[str], merged: int) ->
         yield list(map(np.concatenate, zip(*got, strict=True)))
 
 
-def _met(sorted_keys: DataFrame) -> DataFrame:
+def _met(sorted_keys: DataFrame, spelled: bool = True) -> DataFrame:
     """Of rows (key, fold, n, word) sorted by key, those of a key in one partition: candidate pairs (a, b), ``key`` null;
-    and of keys with a crowd the members (key, a, n), ``b`` null, and their pairs with one of them.
+    and of keys with a crowd the members (key, a, n), ``b`` null, and their pairs with one of them, which leads.
 
-    At most a crowd's first rows are held back from one batch to the next.
+    Rows may also have the ``crowd`` that they are known to be in, or else their own fold: no pair of one crowd comes
+    out, and of the members only the one that leads and those of other crowds than its own. Unless ``spelled``, keys
+    without a crowd are passed over. At most a crowd's first rows are held back from one batch to the next.
     """
     crowd, merged = CROWD, MERGED
+    names = ["key", "fold", "n", "word", "crowd" if "crowd" in sorted_keys.columns else "fold"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "fold", "n", "word"]
-        held, lead = [np.zeros(0, np.int64)] * 4, None  # rows of the last key; where it is a crowd, the row that leads
+        held, lead = [np.zeros(0, np.int64)] * 5, None  # rows of the last key; where it is a crowd, the row that leads
 
         def pairs(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
             least, most = np.minimum(x[2], y[2]), np.maximum(x[2], y[2])
-            kept = (x[1] != y[1]) & (5 * least >= 4 * most) & (np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) <= WORD_APART)
+            kept = (x[4] != y[4]) & (5 * least >= 4 * most) & (np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) <= WORD_APART)
             x, y = x[1][kept], y[1][kept]
             none = pa.nulls(len(x), pa.int64())
             return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none], names=["key", "a", "b", "n"])
@@ -207,7 +214,7 @@ def _met(sorted_keys: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.nulls(len(x[0]), pa.int64()), pa.array(x[2])], names=["key", "a", "b", "n"])
 
         def few(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for d in range(1, crowd):
+            for d in range(1, crowd if spelled else 1):
                 i = np.flatnonzero(rows[0][:-d] == rows[0][d:])
                 if not len(i):
                     return
@@ -225,7 +232,9 @@ def _met(sorted_keys: DataFrame) -> DataFrame:
                 some[at : at + size] = True
                 own = [c[at : at + size] for c in rows]
                 head = lead if led else [c[:1] for c in own]
-                yield members(own)
+                news = own[4] != head[4]
+                news[0] |= not led
+                yield members([c[news] for c in own])
                 yield pairs(own, [np.repeat(c, size) for c in head])
                 if at + size == len(rows[0]):
                     lead = head
@@ -241,18 +250,31 @@ def _met(sorted_keys: DataFrame) -> DataFrame:
     return map_arrow(sorted_keys, run, "key bigint, a bigint, b bigint, n bigint")
 
 
-def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Pairs (a, b) that may be similar, members (key, fold, n) of keys with a crowd, and in how many keys one of a crowd's own is."""
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Pairs (a, b) that may be similar; members (key, fold, n) of keys with a crowd, a crowd found first being a key as well;
+    the rows (fold) that tie such crowds to others; and in how many keys one of a crowd's own is."""
     at = tables(max(12, min(32, reps.count().bit_length())))
-    found = []
-    for first in range(0, len(at), TABLES):
-        keyed = _keyed(reps, at[first : first + TABLES], first)
-        found.append(staged(_met(keyed.repartition("key").sortWithinPartitions("key")), "met"))
+
+    def met(rows: DataFrame, first: int, spelled: bool) -> DataFrame:
+        keyed = _keyed(rows, at[first : first + TABLES], first)
+        # Of a key the rows known to be in crowds come first, so that one of them leads.
+        order = keyed.repartition("key").sortWithinPartitions("key", F.col("crowd") == F.col("fold"))
+        found = staged(_met(order, spelled), "met" if spelled else "met-first")
         give_back(reps.sparkSession)
-    met = reduce(DataFrame.unionByName, found)
-    pairs = staged(met.where("key IS NULL").select("a", "b").distinct(), "met-pairs")
-    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("fold"), "n")
-    return pairs, members, max(1, len(at) // 16)
+        return found
+
+    ahead = met(reps.withColumn("crowd", F.col("fold")), 0, False)
+    early = ahead.where("key IS NOT NULL").select("key", F.col("a").alias("fold"), "n", F.col("a").alias("label"))
+    core = max(1, min(TABLES, len(at)) // 16)
+    crowds = _crowds(early, core).select(F.col("key").alias("crowd"), "fold", "n")
+    often = early.groupBy("fold").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= core).select("fold")
+    known = staged(crowds.join(often.hint("merge"), "fold").groupBy("fold").agg(F.min("crowd").alias("crowd")), "known-crowds")
+    rows = staged(reps.join(known.hint("merge"), "fold", "left").withColumn("crowd", F.coalesce("crowd", "fold")), "crowd-reps")
+
+    found = reduce(DataFrame.unionByName, [ahead.where("key IS NULL"), *(met(rows, first, True) for first in range(0, len(at), TABLES))])
+    pairs = staged(found.where("key IS NULL").select("a", "b").distinct(), "met-pairs")
+    members = found.where("key IS NOT NULL").select("key", F.col("a").alias("fold"), "n")
+    return pairs, members.unionByName(crowds.withColumnRenamed("crowd", "key")), known.select("fold"), max(1, len(at) // 16)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -324,15 +346,19 @@ def _differences(members: DataFrame) -> DataFrame:
     return map_arrow(members.select(*kept, "ref", "shingles"), run, schema)
 
 
-def _crowds(members: DataFrame, core: int = 1) -> DataFrame:
+def _crowds(members: DataFrame, core: int = 1, known: DataFrame | None = None) -> DataFrame:
     """The members (key, fold, n, label) of crowded keys once each, with the crowd as ``key`` and its size ``c``.
 
     Near copies meet in many keys, whose members are much the same. Keys that share a member
     are one crowd here, so each pair of one key is in one crowd, and a member's differences
     are spelled out once instead of once per key. Only members of at least ``core`` keys tie
-    keys together: one that meets a crowd by chance belongs to it, but brings no other crowd.
+    keys together, and those (fold) that are ``known`` to: one that meets a crowd by chance
+    belongs to it, but brings no other crowd.
     """
-    often = staged(members.groupBy("fold").agg(F.count(F.lit(1)).alias("keys")), "crowd-often")
+    counts = members.groupBy("fold").agg(F.count(F.lit(1)).alias("keys"))
+    if known is not None:
+        counts = counts.unionByName(known.withColumn("keys", F.lit(core).cast("long"))).groupBy("fold").agg(F.max("keys").alias("keys"))
+    often = staged(counts, "crowd-often")
     tied = F.when(F.col("keys") >= core, F.col("fold"))
     named = staged(members.join(often.hint("merge"), "fold").withColumn("tied", tied), "crowd-ties")
     least = staged(named.groupBy("key").agg(F.coalesce(F.min("tied"), F.min("fold")).alias("b")), "crowd-firsts")
@@ -374,8 +400,16 @@ def _crowd_pairs(crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
     lacked = "CASE WHEN near THEN floor((9 * m + 4 * n - lw) / 9) + 1 ELSE ceil(by / 9) END"
     more = apart.select(*fixed, F.lit(False).alias("lacks"), F.expr(f"greatest(1, ceil(({beyond}) / 45))").alias("s"), F.col("more").alias("all"))
     less = apart.where(f"{beyond} <= 0").select(*fixed, F.lit(True).alias("lacks"), F.expr(f"greatest(1, {lacked})").alias("s"), F.col("less").alias("all"))
-    items = more.unionByName(less).where("s <= size(all)")
-    items = items.select(*fixed, "lacks", "s", F.explode("all").alias("item"))
+    lists = staged(more.unionByName(less).where("s <= size(all)"), "lists")
+    # Heads of the lists in the plain order first: of sets that share s items the first size - s + k of each share k. Members
+    # that are far off (in the crowd by chance) must share so much of their lists that most of them go by this.
+    lists = lists.withColumn("k", F.expr(f"least(s, {HEAD})"))
+    head = F.expr("slice(array_sort(all), 1, cast(size(all) - s + k AS int))")
+    heads = staged(lists.select("key", "fold", "lacks", "k", F.explode(head).alias("item")), "heads")
+    shared = staged(heads.groupBy("key", "lacks", "item").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared-heads")
+    met = heads.join(shared.hint("merge"), ["key", "lacks", "item"]).groupBy("key", "lacks", "fold", "k").agg(F.count(F.lit(1)).alias("f"))
+    met = staged(met.where("f >= k").select("key", "lacks", "fold"), "met-heads")
+    items = lists.join(met.hint("merge"), ["key", "lacks", "fold"]).select(*fixed, "lacks", "s", F.explode("all").alias("item"))
     items = staged(items, "items")
     often = staged(items.groupBy("key", "lacks", "item").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
     known = staged(items.join(often.hint("merge"), ["key", "lacks", "item"]), "known-items")
@@ -399,7 +433,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = staged(_marked(base), "marked")
     firsts = [F.first(c).alias(c) for c in ("n", "fp", "tiny")]
     reps = staged(marked.groupBy("fold").agg(F.min("doc_id").alias("first"), *firsts), "reps")
-    pairs, members, core = _candidates(reps.where("n > 3"))  # smaller sets at 0.8 are equal
+    pairs, members, known, core = _candidates(reps.where("n > 3"))  # smaller sets at 0.8 are equal
     close = _judged(pairs, reps.select("fold", F.col("fp").alias("shingles")), near_prints)
 
     both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -418,10 +452,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = members.join(near.hint("merge"), "fold", "left")
     placed = staged(placed.select("key", "fold", "n", F.coalesce("label", "fold").alias("label")), "placed")
-    apart = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+    crowds = _crowds(placed, core, known)
+    apart = crowds.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
     apart = staged(apart.where("l < h").select("key"), "apart")
-    left = staged(placed.join(apart.hint("merge"), "key"), "left")
-    certain, pairs = _crowd_pairs(_crowds(left, core), sets)
+    certain, pairs = _crowd_pairs(staged(crowds.join(apart.hint("merge"), "key"), "left"), sets)
     rest = staged(rest.unionByName(pairs.join(stars, ["a", "b"], "left_anti")).distinct(), "rest")
     found = near.where("fold <> label").select(F.col("fold").alias("a"), F.col("label").alias("b"))
     links = found.unionByName(certain).unionByName(_judged(rest, sets))
