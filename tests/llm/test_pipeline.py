@@ -311,6 +311,51 @@ def test_known_crowds_meet_nowhere_else(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in only if r["key"] is None) == sorted([(1, f) for k in (1, 3) for f in keys[k][1:]])
 
 
+def test_near_stage_pairs_few_texts_that_share_a_passage(spark, monkeypatch):
+    """Texts that share a long passage meet in many keys but are far from 0.8: their keys' bits tell, so few pairs are made."""
+    counted, stage = {}, near_copies.staged
+
+    def counting(df, name):
+        found = stage(df, name)
+        if name == "met-pairs":
+            counted[name] = found.count()
+        return found
+
+    monkeypatch.setattr(near_copies, "staged", counting)
+    size, passage = 400, [f"p{j}" for j in range(60)]
+    texts = [[*passage, *(f"own{i}v{j}" for j in range(60))] for i in range(size)]
+    texts += [[*t[:100], *(f"new{i}v{j}" for j in range(20))] for i, t in enumerate(texts[:30])]  # no link
+    texts += [[*t[:-6], *(f"end{i}v{j}" for j in range(6))] for i, t in enumerate(texts[:30])]
+    texts = [" ".join(t) for t in texts]
+    sets = [near_copies.shingle_set(t.encode()) for t in texts]
+    links = [(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if near_copies.similar(a, b)]
+    assert links == [(i, size + 30 + i) for i in range(30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_components(frame).collect()}
+    assert got == {i: i - size - 30 if i >= size + 30 else i for i in range(size + 60)}
+    assert 30 <= counted["met-pairs"] < 4 * size
+
+
+@pytest.mark.parametrize("sizes", [(18, 1, 1), (90, 10, 10), (900, 100, 100), (4, 0, 1)])
+def test_near_stage_words_keep_similar_sets(spark, monkeypatch, sizes):
+    """Sets at 0.8 pair by the bits that go with their keys, also where these are more apart than others'; opposite bits do not."""
+    rng = np.random.default_rng(7)
+    both, a, b = sizes
+    prints = []
+    for _ in range(150):
+        s = rng.integers(0, 1 << 63, both + a + b, np.uint64)
+        prints += [near_copies.simhash(np.sort(s[: both + a])), near_copies.simhash(np.sort(np.r_[s[:both], s[both + a :]]))]
+    prints = np.array(prints)[:, : 8 * len(near_copies.WORDS)]
+    far = prints.copy()
+    far[1::2, 8:] = ~far[::2, 8:]
+    n = [both + a, both + b] * 150
+    rows = [(i // 2, i, n[i], i, *w) for i, w in enumerate(prints.copy().view(np.int64).tolist())]
+    rows += [(r[0] + 1000, r[1] + 1000, r[2], r[3] + 1000, *w) for r, w in zip(rows, far.copy().view(np.int64).tolist(), strict=True)]
+    schema = ", ".join(f"{c} long" for c in ("key", "fold", "n", "crowd", *near_copies.WORDS))
+    got = near_copies._met(spark.createDataFrame(rows, schema).coalesce(1)).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(2 * i, 2 * i + 1) for i in range(150)]
+
+
 @pytest.mark.parametrize("stage", ["exact", "near", "mix"])
 def test_keys_hold_when_files_are_split_anew(spark, tmp_path, monkeypatch, stage):
     """Files are packed into other partitions after the rows are chosen; no document may be lost for it."""

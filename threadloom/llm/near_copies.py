@@ -8,9 +8,11 @@ probability of at most ``APART``; one pair of sizes goes beyond that and has key
 (``tiny_keys``). Candidates share a key of ``b`` chosen bits in one of so many tables that a
 pair at exactly 0.8 shares none with a probability of ``MISS``, a closer pair less often
 (``tables``); ``b`` grows with the number of sets, so that keys stay thinly populated. Keys
-are taken some tables at a time, so that few of them are on disk at once. Of the candidates
-those go whose fingerprints differ in over a quarter of the bits; the others are judged by
-their whole sets, as 64-bit hashes of the shingles.
+are taken some tables at a time, so that few of them are on disk at once, and carry the
+fingerprint's first 256 bits: rows that share a key but are too far apart by these (most of
+them, where many texts share a passage) make no pair. Of the candidates those go whose
+fingerprints differ in over a quarter of the bits; the others are judged by their whole sets,
+as 64-bit hashes of the shingles.
 
 Equal sets are folded first. Each set is judged against two of its candidates, and what that
 links is one component; only pairs whose ends are still apart are judged in full. Where a key
@@ -41,8 +43,12 @@ SHINGLE = 5
 BITS = 2048  # of a fingerprint
 APART = 0.1515  # acos(8 / 9) / pi, rounded up
 MISS = 1e-5
-TABLES = 48  # whose keys are on disk at once
-WORD_APART = 26  # of the first 64 bits of a fingerprint: at 0.8 more differ in 1 of 3 million pairs
+TABLES = 24  # whose keys are on disk at once
+AHEAD = 48  # tables gone through first, for crowds alone
+WORDS = [f"word{i}" for i in range(4)]  # columns: the first 64 bits of a fingerprint, the next and so on
+WORD_APART = 26  # of the first 64 bits: at 0.8 more differ in 1 of 3 million pairs
+WORDS_APART = 70  # of the bits of ``WORDS``, likewise
+TINY_APART = 81  # of these for sets of 4 and 5, likewise (0.1875 of their bits differ)
 CROWD = 64  # members of a key above which its pairs are found by differences from a reference set
 HEAD = 8  # items that two lists of differences must share within their heads, where they must share as many at all
 MERGED = 1 << 15  # rows whose keys are compared at a time
@@ -154,7 +160,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(reps: DataFrame, at: np.ndarray, first: int) -> DataFrame:
-    """(key, fold, n, word, crowd) of each row of ``reps`` in the tables ``at``; ``word``: its first 64 bits. With the first tables its tiny keys."""
+    """(key, fold, n, crowd, ``WORDS``) of each row of ``reps`` in the tables ``at``. With the first tables its tiny keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +168,7 @@ def _keyed(reps: DataFrame, at: np.ndarray, first: int) -> DataFrame:
                 continue
             prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(batch), -1)
             fold, n, crowd = (batch.column(c).to_numpy() for c in ("fold", "n", "crowd"))
-            word = prints[:, :8].copy().view(np.int64)[:, 0]
+            words = prints[:, : 8 * len(WORDS)].copy().view(np.int64)
             keys = [table_keys(prints, at, first).ravel()]
             rows = [np.repeat(np.arange(len(batch)), len(at))]
             if not first:
@@ -170,10 +176,11 @@ def _keyed(reps: DataFrame, at: np.ndarray, first: int) -> DataFrame:
                 keys.append(np.array([k for ks in tiny for k in ks], np.int64))
                 rows.append(np.repeat(np.arange(len(batch)), [len(ks) for ks in tiny]))
             row = np.concatenate(rows)
-            columns = (np.concatenate(keys), fold[row], n[row], word[row], crowd[row])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "fold", "n", "word", "crowd"])
+            columns = (np.concatenate(keys), fold[row], n[row], crowd[row], *(w[row] for w in words.T))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-    return map_arrow(reps.select("fold", "n", "fp", "tiny", "crowd"), run, "key bigint, fold bigint, n bigint, word bigint, crowd bigint")
+    names = ["key", "fold", "n", "crowd", *WORDS]
+    return map_arrow(reps.select("fold", "n", "fp", "tiny", "crowd"), run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _larger(batches: Iterable[pa.RecordBatch], names: list[str], merged: int) -> Iterator[list[np.ndarray]]:
@@ -189,24 +196,38 @@ def _larger(batches: Iterable[pa.RecordBatch], names: list[str], merged: int) ->
         yield list(map(np.concatenate, zip(*got, strict=True)))
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each two words differ."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
+
+
 def _met(sorted_keys: DataFrame, spelled: bool = True) -> DataFrame:
-    """Of rows (key, fold, n, word) sorted by key, those of a key in one partition: candidate pairs (a, b), ``key`` null;
+    """Of rows (key, fold, n, words) sorted by key, those of a key in one partition: candidate pairs (a, b), ``key`` null;
     and of keys with a crowd the members (key, a, n), ``b`` null, and their pairs with one of them, which leads.
 
+    The words are ``WORDS``, or the first of them alone as ``word``; pairs that are too far apart by them do not come out.
+
     Rows may also have the ``crowd`` that they are known to be in, or else their own fold: no pair of one crowd comes
     out, and of the members only the one that leads and those of other crowds than its own. Unless ``spelled``, keys
     without a crowd are passed over. At most a crowd's first rows are held back from one batch to the next.
     """
     crowd, merged = CROWD, MERGED
-    names = ["key", "fold", "n", "word", "crowd" if "crowd" in sorted_keys.columns else "fold"]
+    words = ["word"] if "word" in sorted_keys.columns else WORDS
+    names = ["key", "fold", "n", "crowd" if "crowd" in sorted_keys.columns else "fold", *words]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lead = [np.zeros(0, np.int64)] * 5, None  # rows of the last key; where it is a crowd, the row that leads
-
-        def pairs(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
-            least, most = np.minimum(x[2], y[2]), np.maximum(x[2], y[2])
-            kept = (x[4] != y[4]) & (5 * least >= 4 * most) & (np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) <= WORD_APART)
-            x, y = x[1][kept], y[1][kept]
+        held, lead = [np.zeros(0, np.int64)] * len(names), None  # rows of the last key; where it is a crowd, the row that leads
+
+        def pairs(x: list[np.ndarray], i: np.ndarray, y: list[np.ndarray], j: np.ndarray) -> pa.RecordBatch:
+            """The rows ``i`` of ``x``, each with its row of ``j`` of ``y``."""
+            least, most = np.minimum(x[2][i], y[2][j]), np.maximum(x[2][i], y[2][j])
+            kept = (x[3][i] != y[3][j]) & (5 * least >= 4 * most) & (_apart(x[4][i], y[4][j]) <= WORD_APART)
+            i, j, most = i[kept], j[kept], most[kept]
+            if len(words) > 1:
+                bits = sum(_apart(p[i], q[j]) for p, q in zip(x[4:], y[4:], strict=True))
+                kept = bits <= np.where(most == 5, TINY_APART, WORDS_APART)
+                i, j = i[kept], j[kept]
+            x, y = x[1][i], y[1][j]
             none = pa.nulls(len(x), pa.int64())
             return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none], names=["key", "a", "b", "n"])
 
@@ -218,7 +239,7 @@ def _met(sorted_keys: DataFrame, spelled: bool = True) -> DataFrame:
                 i = np.flatnonzero(rows[0][:-d] == rows[0][d:])
                 if not len(i):
                     return
-                yield pairs([c[i] for c in rows], [c[i + d] for c in rows])
+                yield pairs(rows, i, rows, i + d)
 
         for part in _larger(batches, names, merged):
             rows = [np.concatenate(x) for x in zip(held, part, strict=True)]
@@ -232,10 +253,10 @@ def _met(sorted_keys: DataFrame, spelled: bool = True) -> DataFrame:
                 some[at : at + size] = True
                 own = [c[at : at + size] for c in rows]
                 head = lead if led else [c[:1] for c in own]
-                news = own[4] != head[4]
+                news = own[3] != head[3]
                 news[0] |= not led
                 yield members([c[news] for c in own])
-                yield pairs(own, [np.repeat(c, size) for c in head])
+                yield pairs(own, np.arange(size), head, np.zeros(size, np.int64))
                 if at + size == len(rows[0]):
                     lead = head
             last = starts[-1]
@@ -263,9 +284,10 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
         give_back(reps.sparkSession)
         return found
 
-    ahead = met(reps.withColumn("crowd", F.col("fold")), 0, False)
+    alone = reps.withColumn("crowd", F.col("fold"))
+    ahead = reduce(DataFrame.unionByName, [met(alone, first, False) for first in range(0, min(AHEAD, len(at)), TABLES)])
     early = ahead.where("key IS NOT NULL").select("key", F.col("a").alias("fold"), "n", F.col("a").alias("label"))
-    core = max(1, min(TABLES, len(at)) // 16)
+    core = max(1, min(AHEAD, len(at)) // 16)
     crowds = _crowds(early, core).select(F.col("key").alias("crowd"), "fold", "n")
     often = early.groupBy("fold").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= core).select("fold")
     known = staged(crowds.join(often.hint("merge"), "fold").groupBy("fold").agg(F.min("crowd").alias("crowd")), "known-crowds")
